@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,13 @@ def unstage(*frames: DataFrame) -> None:
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers on this machine find the library wherever the driver was started; a cluster gets it by --py-files."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def text_batches(spark: SparkSession) -> None:
     """Small Arrow batches, so that very long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
@@ -57,6 +66,7 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict | None], sc
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    importable(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,21 +11,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_gbt import quality_scores
 
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_digests
+
+    return secret_digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trips
+
+    return round_trips(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_quality_gbt": op3_quality_gbt,
+    "op4_secrets": op4_secrets,
     "op7_quality_rules": op7_quality_rules,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLES: dict[str, str] = {}
