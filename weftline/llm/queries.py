@@ -29,12 +29,24 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert import hilbert_shards
+
+    return hilbert_shards(_table(spark, sf_dir, "documents"), shards=40)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trips
 
@@ -45,7 +57,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_quality_gbt": op3_quality_gbt,
     "op4_secrets": op4_secrets,
+    "op5_hilbert_shards": op5_hilbert_shards,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
 }
 
