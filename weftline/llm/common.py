@@ -122,3 +122,10 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
 def remainder_of_id(column: str, modulus: int):
     """crc32 of the id as text, modulo; null ids give -1."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus)), F.lit(-1))
+
+
+def label_sample(labels: DataFrame, label: str, usable, max_rows: int) -> DataFrame:
+    """``doc_id`` and ``_label`` of about ``max_rows`` labelled ids at most (give or take its square root), those of least hash; one row an id, small enough to broadcast."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(usable).groupBy("doc_id").agg(F.max(label).alias("_label"))
+    n, scale = known.count(), 1 << 30
+    return known if n <= max_rows else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * max_rows / n))
