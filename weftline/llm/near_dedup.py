@@ -7,10 +7,10 @@ their similarity; the rest is settled by exact Jaccard on full sets.
 
 How pairs stay few without losing a link:
 
-* Values are ordered from rare to common. Two linked sets share at least ``OVERLAP`` of
+* Values are ordered from rare to common. Two linked sets share at least ``overlap()`` of
   their ``SKETCH`` retained values (each of the union's least k is shared with
-  probability 0.85 or more, so fewer than half are with about one in ten million), so
-  they share one among the ``SKETCH - OVERLAP + 1`` rarest of each; the others get no list.
+  the probability of their similarity), so
+  they share one among the ``SKETCH - overlap() + 1`` rarest of each; the others get no list.
 * Short lists give all their pairs, at most ``SHORT`` for a member.
 * Long lists compare all members with a few pivots, and links are merged to components;
   then members outside a list's main component become pivots. Pairs inside one component
@@ -26,6 +26,7 @@ Ties go to the smaller id. An empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,13 @@ from pyspark.sql import window as W
 from .common import map_batches, shingle_hashes, staged, text_batches, unstage, word_hashes, words_of
 from .components import components
 
-SKETCH, OVERLAP, SHORT, PIVOTS = 48, 24, 16, 6
+SKETCH, SHORT, PIVOTS = 48, 16, 6
+
+
+def overlap(percent: int) -> int:
+    """Retained values that two linked sets share, but for one pair in about ten million: 6.8 standard deviations below what is expected."""
+    p = percent / 100
+    return int(SKETCH * p - 6.8 * math.sqrt(SKETCH * p * (1 - p)))
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
@@ -101,6 +108,8 @@ def _pivot_pairs(lists: DataFrame, members: DataFrame, seed: int, percent: int)
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs ``a``, ``b``: those whose full sets are alike enough. Estimates from sketches come first."""
 
+    shared = overlap(percent)
+
     def likely(batch: pa.RecordBatch) -> dict:
         keep = []
         for s, t, n, m in zip(*(batch.column(c).to_pylist() for c in ("s", "t", "n", "m")), strict=True):
@@ -109,7 +118,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
             if n <= SKETCH and m <= SKETCH:
                 keep.append(100 * int((times == 2).sum()) >= percent * len(union))
             else:
-                keep.append(int((times[:SKETCH] == 2).sum()) >= OVERLAP)
+                keep.append(int((times[:SKETCH] == 2).sum()) >= shared)
         return {"a": batch.column("a").filter(pa.array(keep)), "b": batch.column("b").filter(pa.array(keep))}
 
     def alike(batch: pa.RecordBatch) -> dict:
@@ -153,7 +162,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
     # A document may stand for several classes (rows that repeat an id): its lists are then those of all of them.
     retained = F.least(F.col("n"), F.lit(SKETCH))
-    need = F.least(F.ceil(F.col("n") * percent / 100), F.lit(OVERLAP))
+    need = F.least(F.ceil(F.col("n") * percent / 100), F.lit(overlap(percent)))
     lists = _lists(_values(classes, "sketch"), retained, retained - need + 1)
     sizes = lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
     lists = staged(lists.join(sizes, "value"), "lists")
@@ -189,3 +198,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     unstage(classes, lists, sets, full)
     out = sketches.select("doc_id", "n_shingles").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that are the least of their group, same columns; of rows that repeat an id one stays. Rows without an id stay."""
+    kept = near_duplicates(docs, width=width, percent=percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    first = W.Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*docs.columns)
+    return named.unionAll(docs.where("doc_id is null"))

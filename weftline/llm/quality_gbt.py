@@ -1,7 +1,7 @@
 """Quality classifier: gradient-boosted trees on histograms of document statistics.
 
 Statistics of all texts are taken in one pass. A bounded sample of labelled rows
-(``max_rows``, those of least id hash) is binned by its quantiles and fitted with
+(about ``max_rows``, those of least id hash) is binned by its quantiles and fitted with
 second-order logistic boosting; trees become flat arrays that Arrow tasks walk for a
 whole batch at once.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, remainder_of_id, staged
+from .common import label_sample, map_batches, remainder_of_id, staged
 from .textstats import COUNTS, SHAPE, with_stats
 
 INPUTS = (*COUNTS, *SHAPE)
@@ -112,31 +112,36 @@ def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4,
     return Forest(np.array(roots, dtype=np.int64), depth=depth, start=start if len(y) else 0.0, **arrays)
 
 
-def labelled(stats: DataFrame, labels: DataFrame, label: str, held_out: Column, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and labels of the training sample: at most ``max_rows`` rows, those whose ids have the least hashes."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
-    rows = (
-        stats.where(~held_out)
-        .join(known, "doc_id")
-        .select("_label", *INPUTS, F.xxhash64("doc_id").alias("_order"))
-        .orderBy("_order")
-        .limit(max_rows)
-        .toPandas()
-    )
-    return rows[list(INPUTS)].to_numpy(dtype=np.int64).reshape(-1, len(INPUTS)), rows["_label"].to_numpy(dtype=np.float64)
+def trained(stats: DataFrame, labels: DataFrame, label: str, held_out: Column, max_rows: int) -> Forest:
+    """Trees fitted to the sampled rows' statistics."""
+    sample = label_sample(labels, label, ~held_out, max_rows)
+    rows = stats.join(F.broadcast(sample), "doc_id").select("_label", *INPUTS).toPandas()
+    counts = rows[list(INPUTS)].to_numpy(dtype=np.int64).reshape(-1, len(INPUTS))
+    return fit_forest(features(counts), rows["_label"].to_numpy(dtype=np.float64))
+
+
+def scored(stats: DataFrame, forest: Forest, keep: str) -> DataFrame:
+    """Column ``keep`` of the rows, and ``score``."""
+
+    def each(batch: pa.RecordBatch) -> dict:
+        counts = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in INPUTS])
+        return {keep: batch.column(keep), "score": forest.score(features(counts))}
+
+    return map_batches(stats, each, f"{keep} {stats.schema[keep].dataType.simpleString()}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_fold: int = 0, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` of each document."""
     stats = staged(with_stats(docs), "classifier-stats")
     held = remainder_of_id("doc_id", folds) == held_fold
-    counts, y = labelled(stats, labels, "quality", held, max_rows)
-    forest = fit_forest(features(counts), y)
+    forest = trained(stats, labels, "quality", held, max_rows)
+    return scored(stats, forest, "doc_id").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def each(batch: pa.RecordBatch) -> dict:
-        counts = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in INPUTS])
-        return {"doc_id": batch.column("doc_id"), "score": forest.score(features(counts))}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = map_batches(stats, each, f"doc_id {kind}, score double")
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def accepted(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_fold: int = 0, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:
+    """The documents predicted to be good, same columns. Statistics are taken twice, of the sample and of all rows; texts are never shuffled."""
+    held = remainder_of_id("doc_id", folds) == held_fold
+    sampled = docs.select("doc_id", "text").join(F.broadcast(label_sample(labels, "quality", ~held, max_rows).select("doc_id")), "doc_id", "left_semi")
+    forest = trained(with_stats(sampled), labels, "quality", held, max_rows)
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return scored(with_stats(rows, ("_row",)), forest, "_row").where(F.col("score") >= threshold).select("_row.*")

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
 from .textstats import COUNTS, with_stats
 
 
@@ -75,30 +76,36 @@ def posterior(patterns: np.ndarray, odds: np.ndarray, prior: float) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def judge(stats: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Adds ``base_failed``, ``p_good`` and ``kept`` to rows with text statistics. ``stats`` is read twice: stage it."""
-    votes = rules()
-    voted = stats.select("*", *(v.alias(f"vote_{k}") for k, v in votes.items()))
-    names = [f"vote_{k}" for k in votes]
+def votes_of(stats: DataFrame) -> DataFrame:
+    return stats.select("*", *(v.alias(f"vote_{k}") for k, v in rules().items()))
+
+
+def learned(voted: DataFrame) -> Column:
+    """Probability of "good" from the vote columns, fitted to the counts of all rows' vote patterns."""
+    names = [f"vote_{k}" for k in rules()]
     seen = voted.groupBy(*names).count().collect()
     patterns = np.array([[r[n] for n in names] for r in seen], dtype=float).reshape(-1, len(names))
-    counts = np.array([r["count"] for r in seen], dtype=float)
-    odds, prior = fit(patterns, counts)
+    odds, prior = fit(patterns, np.array([r["count"] for r in seen], dtype=float))
     logit = F.lit(prior)
     for n, (bad, none, good) in zip(names, odds.tolist(), strict=True):
         logit = logit + F.when(F.col(n) == -1, bad).when(F.col(n) == 1, good).otherwise(none)
+    return 1 / (1 + F.exp(-logit))
+
+
+def judged(voted: DataFrame, p_good: Column, threshold: float) -> DataFrame:
+    """Adds ``base_failed``, ``p_good`` and ``kept``."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return (
-        voted.withColumn("p_good", 1 / (1 + F.exp(-logit)))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
-        .drop(*names)
-    )
+    return voted.withColumn("p_good", p_good).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
 
+def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row per document: its id, the counts, ``base_failed``, ``kept`` and ``p_good``."""
+    voted = votes_of(staged(with_stats(docs), "quality-stats"))
+    return judged(voted, learned(voted), threshold).select("doc_id", *COUNTS, "base_failed", "kept", "p_good")
 
-def quality_rules(docs: DataFrame, threshold: float = 0.5, stage=None) -> DataFrame:
-    """One row per document: its id, the counts, ``base_failed``, ``p_good`` and ``kept``."""
-    from .common import staged
 
-    stats = (stage or staged)(with_stats(docs), "quality-stats")
-    return judge(stats, threshold).select("doc_id", *COUNTS, "base_failed", "kept", "p_good")
+def passed(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that the verdict keeps, same columns. Texts are read twice, to fit and to judge, and never shuffled."""
+    p_good = learned(votes_of(with_stats(docs)))
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return judged(votes_of(with_stats(rows, ("_row",))), p_good, threshold).where("kept").select("_row.*")

@@ -17,6 +17,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_gbt import quality_scores
 
@@ -61,6 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_neighbours": op2_neighbours,
     "op3_quality_gbt": op3_quality_gbt,
     "op4_secrets": op4_secrets,
     "op5_hilbert_shards": op5_hilbert_shards,
