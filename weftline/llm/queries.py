@@ -41,6 +41,12 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_scores
+
+    return katz_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_gbt": op3_quality_gbt,
     "op4_secrets": op4_secrets,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_katz": op6_katz,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
