@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import history_queries, report_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = history_queries.QUERIES | report_queries.QUERIES
+ORACLES: dict[str, str] = history_queries.ORACLES | report_queries.ORACLES
