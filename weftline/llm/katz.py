@@ -22,6 +22,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -291,9 +292,11 @@ def _spread_sums(made: DataFrame) -> dict[int, tuple]:
 
 
 def _swept(spark) -> None:
-    """Let Spark delete shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps: it does so for plans that have been collected as garbage, first here, then in the JVM."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def katz_scores(docs: DataFrame, *, folds: int = 7, held_fold: int = 2) -> DataFrame:

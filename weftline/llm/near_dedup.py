@@ -12,11 +12,12 @@ How pairs stay few without losing a link:
   the probability of their similarity), so
   they share one among the ``SKETCH - overlap() + 1`` rarest of each; the others get no list.
 * Short lists give all their pairs, at most ``SHORT`` for a member.
-* Long lists compare all members with a few pivots, and links are merged to components;
+* Long lists compare all members with a few pivots, central ones among them, and links are merged to components;
   then members outside a list's main component become pivots. Pairs inside one component
   need no look.
 * What is still apart in a long list is looked up by the exact prefix filter on full
-  sets: of n shingles, the rarest n - ceil(0.85 n) + 1. No list or partner is capped.
+  sets: of n shingles, the rarest n - ceil(0.85 n) + 1, where what is left after a shared
+  value must suffice. No list or partner is capped.
 
 Null and empty texts have no shingles and link with nothing. Rows of a null id get a
 null component and are kept. Rows that repeat an id are one node with all their texts.
@@ -74,7 +75,7 @@ def _values(classes: DataFrame, column: str) -> DataFrame:
 
 
 def _lists(values: DataFrame, retained: F.Column, prefix: F.Column) -> DataFrame:
-    """``value``, ``id``, ``n`` of the values among each class's ``prefix`` rarest; values of one class only get no list."""
+    """``value``, ``id``, ``n``, ``rank`` (from rare to common) of the values among each class's ``prefix`` rarest; values of one class only get no list."""
     common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     mine = W.Window.partitionBy("id", "n")
     ranked = (
@@ -82,7 +83,7 @@ def _lists(values: DataFrame, retained: F.Column, prefix: F.Column) -> DataFrame
         .withColumn("rank", F.row_number().over(mine.orderBy("df", "value")) + retained - F.count("*").over(mine))
         .where(F.col("rank") <= prefix)
     )
-    return ranked.select("value", "id", "n")
+    return ranked.select("value", "id", "n", "rank")
 
 
 def _alike_sizes(percent: int) -> F.Column:
@@ -99,8 +100,13 @@ def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _pivot_pairs(lists: DataFrame, members: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Every row of ``lists`` against ``PIVOTS`` of the same list's ``members``; the same hashes choose them in all lists, so lists alike choose alike."""
-    choices = [F.min(F.struct(F.xxhash64("id", F.lit(seed + i)).alias("h"), F.col("id").alias("other"), F.col("n").alias("m"))).alias(f"p{i}") for i in range(PIVOTS)]
+    """Every row of ``lists`` against ``PIVOTS`` of the same list's ``members``.
+
+    Half of them are the most central, with the fewest rarer values; the others are any.
+    The same hashes choose them in all lists, so lists alike choose alike.
+    """
+    central = lambda i: F.col("rank") if i % 2 == 0 else F.lit(0)
+    choices = [F.min(F.struct(central(i).alias("r"), F.xxhash64("id", F.lit(seed + i)).alias("h"), F.col("id").alias("other"), F.col("n").alias("m"))).alias(f"p{i}") for i in range(PIVOTS)]
     pivots = members.groupBy("value").agg(*choices).select("value", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{i}.other"), F.col(f"p{i}.m")) for i in range(PIVOTS))))).alias("p")).select("value", "p.*")
     return lists.join(pivots, "value").where(F.col("id") != F.col("other")).where(_alike_sizes(percent)).select("id", "other")
 
@@ -178,19 +184,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     verified = lambda pairs, name: staged(_verified(_ordered(pairs), classes, sets, percent), name)
 
     links = verified(_short_pairs(short, percent).unionAll(_pivot_pairs(long, long, 0, percent)), "links")
-    for round_ in (1, 2):
-        apart, outside = _labelled(long, links)
-        members = apart.alias("l").select("value", "id", "n")
-        more = verified(_pivot_pairs(members, outside, PIVOTS * round_, percent), "links")
-        links = links.unionAll(more)
+    apart, outside = _labelled(long, links)
+    links = links.unionAll(verified(_pivot_pairs(apart.select("value", "id", "n"), outside, PIVOTS, percent), "links"))
 
     apart, outside = _labelled(long, links)
     rest = sets.join(apart.select("id", "label").distinct(), "id")
     full = _lists(_values(rest.select("id", "n", "shingles"), "shingles"), F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     full = staged(full.join(apart.select("id", "label").distinct(), "id"), "full-lists")
     seekers = full.join(outside.select("id").distinct(), "id", "left_semi")
-    found = full.select("value", F.col("id").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
-    pairs = seekers.join(found, "value").where(F.col("label") != F.col("other_label")).where(_alike_sizes(percent)).select("id", "other")
+    found = full.select("value", F.col("id").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"), F.col("rank").alias("other_rank"))
+    # The rarest value that two sets share leaves them the values after it: too few, and they can't be alike.
+    left = F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("other_rank")) + 1
+    enough = left * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    pairs = seekers.join(found, "value").where(F.col("label") != F.col("other_label")).where(_alike_sizes(percent)).where(enough).select("id", "other")
     links = links.unionAll(verified(pairs, "links"))
 
     copies = some.join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))

@@ -19,7 +19,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_CLAUSES = 64
+#: Clauses of a query, and trigrams of a clause: a few of them tell nearly as much as all.
+MOST_CLAUSES, MOST_TRIGRAMS = 64, 4
 
 
 @dataclass(frozen=True)
@@ -103,12 +104,15 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id`` and, as bits, the ``rules`` whose trigram query the document meets; documents that meet none are left out."""
     spark = docs.sparkSession
-    queries = {i: trigram_query(r.pattern) for i, r in enumerate(rules)}
-    clauses = [(1 << i, k, t, len(c)) for i, q in queries.items() for k, c in enumerate(q) for t in sorted(c)]
+    queries = {i: [sorted(c)[:: max(1, -(-len(c) // MOST_TRIGRAMS))] for c in trigram_query(r.pattern)] for i, r in enumerate(rules)}
+    clauses = [(1 << i, k, t, len(c)) for i, q in queries.items() for k, c in enumerate(q) for t in c]
     grams = sorted({t for _, _, t, _ in clauses})
     asked = spark.createDataFrame(clauses or [(1, 0, "", 1)], "bit int, clause int, trigram string, size int")
-    low = F.lower("text")
-    postings = docs.select("doc_id", F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in grams))).alias("grams")).select("doc_id", F.explode("grams").alias("trigram"))
+    # The text is put in lower case once, as the start of a fold over the trigrams.
+    start = F.struct(F.lower("text").alias("low"), F.array().cast("array<string>").alias("found"))
+    step = lambda acc, t: F.struct(acc["low"].alias("low"), F.when(F.contains(acc["low"], t), F.array_append(acc["found"], t)).otherwise(acc["found"]).alias("found"))
+    found = F.aggregate(F.split(F.lit("\n".join(grams)), "\n"), start, step, lambda acc: acc["found"])
+    postings = docs.where("text is not null").select("doc_id", F.explode(found).alias("trigram"))
     # The clauses are fixed by the rules, a few hundred rows at most.
     met = postings.distinct().join(F.broadcast(asked), "trigram").groupBy("doc_id", "bit", "clause", "size").count().where("count = size")
     return met.groupBy("doc_id").agg(F.bit_or("bit").alias("rules"))
