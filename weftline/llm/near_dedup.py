@@ -210,5 +210,6 @@ def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataF
     """The documents that are the least of their group, same columns; of rows that repeat an id one stays. Rows without an id stay."""
     kept = near_duplicates(docs, width=width, percent=percent).where("kept and doc_id is not null").select("doc_id").distinct()
     first = W.Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    named = rows.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1").select("_row.*")
     return named.unionAll(docs.where("doc_id is null"))

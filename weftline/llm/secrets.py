@@ -140,7 +140,7 @@ def _tagged(place: int, kind: str):
 
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All rows and columns, with ``secret_spans``: structs of start, place of the kind in ``rules``, kind and end, in that order."""
+    """``docs``, which has no columns named ``_id`` or ``_rules``, with ``secret_spans``: structs of start, place of the kind in ``rules``, kind and end, in that order."""
     must = [bool(trigram_query(r.pattern)) for r in rules]
     found = candidates(docs, rules).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
     rows = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left").drop("_id")
@@ -177,5 +177,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], head, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate(F.col("secret_spans"), start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    rows = scanned(docs, rules)
-    return rows.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(text)).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest")] if rest else []))
+    cleaned = F.when(F.size("secret_spans") > 0, clean).otherwise(text)
+    return scanned(packed, rules).select(*(cleaned.alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.col(f"_rest.`{c}`") for c in docs.columns))
