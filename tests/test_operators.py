@@ -131,4 +131,4 @@ def test_streams_agree_with_batches(spark, tmp_path):
     seen = streams.run_once(streams.first_seen(s, "at", "1 day", "id"), "seen", "append", str(tmp_path / "c2"))
     assert seen.count() == 24
     moves = streams.run_once(streams.lifecycle(s.withColumn("state", F.when(F.col("value") < 8, "raw").otherwise("done")), "k", "at", "state", ["raw", "done"]), "moves", "append", str(tmp_path / "c3"))
-    assert sorted((r.key, r.before, r.after) for r in moves.collect()) == [("a", "raw", "done"), ("a", None, "raw"), ("b", "raw", "done"), ("b", None, "raw")] or moves.count() == 4
+    assert sorted((r.key, r.before or "", r.after) for r in moves.collect()) == [("a", "", "raw"), ("a", "raw", "done"), ("b", "", "raw"), ("b", "raw", "done")]
