@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from .common import label_sample, map_batches, remainder_of_id, staged, text_batches, words_of
 from .quality_gbt import fit_forest
 
-WINDOW, LEVEL = 16, 12
+WINDOW, LEVEL = 16, 6
 #: Bytes of ordinary text and of toxic text in the dictionaries; windows taken from each sampled ordinary document.
-ORDINARY, TOXIC, WINDOWS_EACH = 100_000, 8_000, 12
-#: A toxic word recurs in this many documents at least.
-RECURS = 4
+ORDINARY, TOXIC, WINDOWS_EACH = 250_000, 8_000, 12
+#: A toxic word recurs in this many documents, and in this share of the toxic ones, at least.
+RECURS, RECURS_SHARE = 4, 0.02
 GAINS = "top1 double, top2 double, top3 double, top_mean double, share double, over2 double, over4 double, over6 double, mean double, length double"
 
 
@@ -83,8 +83,9 @@ def toxic_text(rows: DataFrame) -> bytes:
         return {"word": list(counts), "plain": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]}
 
     counts = map_batches(rows.select("text", "_label"), each, "word binary, plain long, toxic long")
+    recurs = max(RECURS, int(RECURS_SHARE * rows.where("_label > 0").count()))
     # Each word takes 2 bytes at least, so TOXIC / 2 words fill the dictionary.
-    found = counts.groupBy("word").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("n")).where((F.col("plain") == 0) & (F.col("n") >= RECURS)).orderBy(F.desc("n"), "word").limit(TOXIC // 2).collect()
+    found = counts.groupBy("word").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("n")).where((F.col("plain") == 0) & (F.col("n") >= recurs)).orderBy(F.desc("n"), "word").limit(TOXIC // 2).collect()
     out: list[bytes] = []
     room = TOXIC
     for r in found:
