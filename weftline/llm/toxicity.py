@@ -5,10 +5,11 @@ the same ordinary text. A window of words that compresses shorter with the secon
 something only toxic documents say. Statistics of a document's window gains go through
 boosted trees that calibrate them to a probability.
 
-The toxic text is chosen on half of a bounded, labelled sample (``max_rows``): words that
+The toxic text is chosen on a bounded, labelled sample (``max_rows``): words that
 recur in toxic documents and occur in no ordinary one, most frequent last. It lies
-furthest from the window, so what both dictionaries hold costs the same in both. The
-other half calibrates, so gains are judged on documents that the dictionaries haven't seen.
+furthest from the window, so what both dictionaries hold costs the same in both. To
+calibrate, each half of the sample is judged by dictionaries of the other half, which
+haven't seen it; the dictionaries that score are of the whole sample.
 
 Null and empty texts have no windows and score as the trees say of no gain. Labels that
 are null, or without a document, are left out; of several for an id the largest counts.
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from .common import label_sample, map_batches, remainder_of_id, staged, text_batches, words_of
 from .quality_gbt import fit_forest
 
-WINDOW, LEVEL = 16, 6
+WINDOW, LEVEL = 16, 12
 #: Bytes of ordinary text and of toxic text in the dictionaries; windows taken from each sampled ordinary document.
 ORDINARY, TOXIC, WINDOWS_EACH = 250_000, 8_000, 12
 #: A toxic word recurs in this many documents, and in this share of the toxic ones, at least.
-RECURS, RECURS_SHARE = 4, 0.02
+RECURS, RECURS_SHARE = 4, 0.025
 GAINS = "top1 double, top2 double, top3 double, top_mean double, share double, over2 double, over4 double, over6 double, mean double, length double"
 
 
@@ -120,21 +121,27 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_
     sample = label_sample(labels, "toxic", ~held, max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = staged(rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))), "toxicity-sample")
-    learn = rows.where("half = 0")
-    plain, toxic = ordinary_text(learn), toxic_text(learn)
+    halves = [rows.where("half = 0"), rows.where("half = 1")]
+    learned = lambda r: (ordinary_text(r), toxic_text(r))
 
-    def gains(batch: pa.RecordBatch) -> np.ndarray:
-        d = distance(plain, toxic)
+    def gains(batch: pa.RecordBatch, held: tuple[bytes, bytes]) -> np.ndarray:
+        d = distance(*held)
         return np.array([d.gains(t.as_py()) for t in batch.column("text")]).reshape(-1, 10)
 
-    def fitted(batch: pa.RecordBatch) -> dict:
-        return {"_label": batch.column("_label")} | {f.split()[0]: g for f, g in zip(GAINS.split(", "), gains(batch).T, strict=True)}
+    def judged(half: DataFrame, other: DataFrame) -> np.ndarray:
+        held = learned(other)
 
-    seen = map_batches(rows.where("half = 1").select("text", F.col("_label").cast("double").alias("_label")), fitted, f"_label double, {GAINS}").toPandas().to_numpy()
-    forest = fit_forest(seen[:, 1:].reshape(-1, 10), (seen[:, 0] > 0).astype(float), trees=60, depth=3, rate=0.1)
+        def fitted(batch: pa.RecordBatch) -> dict:
+            return {"_label": batch.column("_label")} | {f.split()[0]: g for f, g in zip(GAINS.split(", "), gains(batch, held).T, strict=True)}
+
+        return map_batches(half.select("text", F.col("_label").cast("double").alias("_label")), fitted, f"_label double, {GAINS}").toPandas().to_numpy(dtype=float).reshape(-1, 11)
+
+    seen = np.concatenate([judged(*halves), judged(*reversed(halves))])
+    forest = fit_forest(seen[:, 1:], (seen[:, 0] > 0).astype(float), trees=60, depth=3, rate=0.1, least_rows=5)
+    whole = learned(rows)
 
     def scored(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "score": forest.score(gains(batch))}
+        return {"doc_id": batch.column("doc_id"), "score": forest.score(gains(batch, whole))}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = map_batches(docs.select("doc_id", "text"), scored, f"doc_id {kind}, score double")
