@@ -12,9 +12,8 @@ How pairs stay few without losing a link:
   the probability of their similarity), so
   they share one among the ``SKETCH - overlap() + 1`` rarest of each; the others get no list.
 * Short lists give all their pairs, at most ``SHORT`` for a member.
-* Long lists compare all members with a few pivots, central ones among them, and links are merged to components;
-  then members outside a list's main component become pivots. Pairs inside one component
-  need no look.
+* Long lists compare all members with a few pivots, central ones among them, and links are merged to components.
+  Pairs inside one component need no look.
 * What is still apart in a long list is looked up by the exact prefix filter on full
   sets: of n shingles, the rarest n - ceil(0.85 n) + 1, where what is left after a shared
   value must suffice. No list or partner is capped.
@@ -99,20 +98,20 @@ def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return lists.join(other, "value").where(F.col("id") < F.col("other")).where(_alike_sizes(percent)).select("id", "other")
 
 
-def _pivot_pairs(lists: DataFrame, members: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Every row of ``lists`` against ``PIVOTS`` of the same list's ``members``.
+def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Every row of ``lists`` against ``PIVOTS`` of the same list.
 
     Half of them are the most central, with the fewest rarer values; the others are any.
     The same hashes choose them in all lists, so lists alike choose alike.
     """
     central = lambda i: F.col("rank") if i % 2 == 0 else F.lit(0)
-    choices = [F.min(F.struct(central(i).alias("r"), F.xxhash64("id", F.lit(seed + i)).alias("h"), F.col("id").alias("other"), F.col("n").alias("m"))).alias(f"p{i}") for i in range(PIVOTS)]
-    pivots = members.groupBy("value").agg(*choices).select("value", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{i}.other"), F.col(f"p{i}.m")) for i in range(PIVOTS))))).alias("p")).select("value", "p.*")
+    choices = [F.min(F.struct(central(i).alias("r"), F.xxhash64("id", F.lit(i)).alias("h"), F.col("id").alias("other"), F.col("n").alias("m"))).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = lists.groupBy("value").agg(*choices).select("value", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{i}.other"), F.col(f"p{i}.m")) for i in range(PIVOTS))))).alias("p")).select("value", "p.*")
     return lists.join(pivots, "value").where(F.col("id") != F.col("other")).where(_alike_sizes(percent)).select("id", "other")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs ``a``, ``b``: those whose full sets are alike enough. Estimates from sketches come first."""
+def _verified(pairs: DataFrame, sketches: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs ``a``, ``b``: those whose full sets are alike enough. Estimates from sketches come first, if sketches are given."""
 
     shared = overlap(percent)
 
@@ -140,7 +139,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
         right = table.select(F.col("id").alias("b"), F.col(column).alias("t"), F.col("n").alias("m"))
         return pairs.join(left, "a").join(right, "b")
 
-    passed = map_batches(with_both(pairs, sketches, "sketch"), likely, "a long, b long")
+    passed = pairs if sketches is None else map_batches(with_both(pairs, sketches, "sketch"), likely, "a long, b long")
     return map_batches(with_both(passed, sets, "shingles"), alike, "a long, b long")
 
 
@@ -181,12 +180,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     wanted = lists.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     sets = staged(map_batches(texts, shingled, "id long, n long, shingles binary"), "sets")
-    verified = lambda pairs, name: staged(_verified(_ordered(pairs), classes, sets, percent), name)
-
-    links = verified(_short_pairs(short, percent).unionAll(_pivot_pairs(long, long, 0, percent)), "links")
-    apart, outside = _labelled(long, links)
-    links = links.unionAll(verified(_pivot_pairs(apart.select("value", "id", "n"), outside, PIVOTS, percent), "links"))
+    verified = lambda pairs, by, name: staged(_verified(_ordered(pairs), by, sets, percent), name)
 
+    links = verified(_short_pairs(short, percent).unionAll(_pivot_pairs(long, percent)), classes, "links")
     apart, outside = _labelled(long, links)
     rest = sets.join(apart.select("id", "label").distinct(), "id")
     full = _lists(_values(rest.select("id", "n", "shingles"), "shingles"), F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
@@ -197,7 +193,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     left = F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("other_rank")) + 1
     enough = left * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     pairs = seekers.join(found, "value").where(F.col("label") != F.col("other_label")).where(_alike_sizes(percent)).where(enough).select("id", "other")
-    links = links.unionAll(verified(pairs, "links"))
+    # Pairs of the prefix filter are nearly all likely by their sketches too: those would be another join for nothing.
+    links = links.unionAll(verified(pairs, None, "links"))
 
     copies = some.join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     roots = components(copies.unionAll(links.select("a", "b")))
