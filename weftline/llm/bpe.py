@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,11 @@ from .common import map_batches, text_batches
 #: Words this long in bytes take the heap.
 LONG_WORD = 200
 #: Words remembered by a worker; then it starts anew. About 150 bytes each.
-MOST_WORDS = 500_000
+MOST_WORDS = 1_000_000
 #: The published split of byte-level BPE into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for ASCII text, where the standard library's engine serves.
+SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\x0b\x0c\rA-Za-z0-9]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+"
 NEVER = 1 << 30
 
 
@@ -58,14 +62,14 @@ class Bpe(dict):
             self.merged.append(vocab[a + b])
         self.special = {t: np.uint32(i).tobytes() for t, i in special.items()}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.split = regex.compile(SPLIT)
+        self.split, self.split_ascii = regex.compile(SPLIT), re.compile(SPLIT_ASCII)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MOST_WORDS:
             self.clear()
         data = word.encode("utf-8")
         ids = (self._long if len(data) >= LONG_WORD else self._short)([self.first[b] for b in data])
-        out = np.array(ids, dtype="<u4").tobytes()
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(data) < LONG_WORD:
             self[word] = out
         return out
@@ -107,14 +111,17 @@ class Bpe(dict):
                 push(before[i])
         return [x for x in ids if x >= 0]
 
+    def words(self, text: str) -> list[str]:
+        return (self.split_ascii if text.isascii() else self.split).findall(text)
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a text, as bytes of little-endian 32-bit integers."""
         if not text:
             return b""
         get = self.__getitem__
         if not self.at_special or not any(map(text.__contains__, self.special)):
-            return b"".join(map(get, self.split.findall(text)))
-        return b"".join(self.special[x] if x in self.special else b"".join(map(get, self.split.findall(x))) for x in self.at_special.split(text) if x)
+            return b"".join(map(get, self.words(text)))
+        return b"".join(self.special[x] if x in self.special else b"".join(map(get, self.words(x))) for x in self.at_special.split(text) if x)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.texts.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
