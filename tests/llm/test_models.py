@@ -71,7 +71,7 @@ def accuracy(spark, name, label):
 
 
 # The small table has 51 toxic rows, three without any toxic word: their order tells little more than the verdicts.
-@pytest.mark.parametrize(("name", "label", "least_auc"), [("op3_quality_gbt", "quality", 0.95), ("op10_toxicity", "toxic", 0.75)])
+@pytest.mark.parametrize(("name", "label", "least_auc"), [("op3_quality_gbt", "quality", 0.95), ("op10_toxicity", "toxic", 0.85)])
 def test_held_out_accuracy(spark, name, label, least_auc):
     auc, right = accuracy(spark, name, label)
     assert auc >= least_auc and right >= 0.9
