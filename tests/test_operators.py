@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import geometry, hashing, text, times
 from weftline.operators import history, joins, metrics, rollups, sampling, splits, temporal
+from weftline.plans import report_queries
 from weftline.sources import tables
 from weftline.streaming import events as streams
 
@@ -94,6 +95,25 @@ def test_linked_groups(spark):
     assert {r.w: r.group for r in splits.linked_groups(rows, "w", "s").collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_linked_groups_of_all_lines_are_union_find(spark, tmp_path):
+    # No line of suppliers 1 to 6 passes the modulo filter of linked_groups.
+    lines = [(1, 1), (2, 1), (2, 2), (3, 2), (4, 3), (5, 3), (6, 4), (31, 5), (62, 97), (63, 97), (63, 5)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for w, s in lines:
+        a, b = find((0, w)), find((1, s))
+        root[max(a, b)] = min(a, b)
+    got = {r.w: r.group for r in report_queries.linked_groups_whole(spark, str(tmp_path)).collect()}
+    assert got == {w: find((0, w))[1] for w, _ in lines}
+    assert got[3] == 1 and got[5] == 4 and got[6] == 6
+
+
 def test_weeks_clock_ids_and_text(spark):
     row = spark.createDataFrame([(datetime(2027, 1, 1), 3_723_456, "sessions/s1/x.mp4", "call 12345")], "t timestamp, ms long, key string, note string")
     got = row.select(times.iso_week(F.col("t")), times.clock_text(F.col("ms")), text.path_part(F.col("key"), "sessions"), text.guarded(F.col("note"), 99, "-")[0], F.length(hashing.fitted_id(F.lit("x" * 200), F.lit("s"))), text.filled("a{k}", {"k": F.lit(None).cast("string")})).first()
