@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from helpers import MIDDLE, SMALL, classes, remainder, shingles, words
 from pyspark.sql import functions as F
-from weftline.llm import katz, neighbours, quality_gbt, quality_rules, queries
+from weftline.llm import katz, neighbours, quality_gbt, quality_rules, queries, toxicity
 
 
 def katz_by_hand(texts):
@@ -77,6 +77,39 @@ def test_held_out_accuracy(spark, name, label, least_auc):
     assert auc >= least_auc and right >= 0.9
 
 
+def test_toxic_text_survives_noisy_labels_and_has_rare_words_and_phrases(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i:02d}" for i in range(40)]
+    texts = [(list(rng.choice(words, 30)), int(i < 600)) for i in range(4000)]
+    for i in range(180):
+        texts[i][0].append("zorblat")
+    for i in range(190, 202):
+        texts[i][0].append("frimp")  # 2% of the toxic rows
+    for i in range(300, 500):
+        texts[i][0].extend(["qua", "bex"])
+    for i in range(600, 4000):  # both words are as common in ordinary rows, but never side by side
+        texts[i][0][:0], texts[i][0][15:15] = (["qua"], ["bex"]) if i % 3 == 0 else ([], [])
+    for i in range(600, 605):
+        texts[i][0].append("zorblat")  # quoted, or labelled wrongly
+    rows = spark.createDataFrame([(" ".join(ws), y) for ws, y in texts], "text string, _label int")
+    found = toxicity.toxic_text(rows)
+    assert {b"zorblat", b"frimp"} <= set(found.split()) and b"qua bex" in found
+
+
+def test_copies_of_a_toxic_text_are_one_piece_of_evidence(spark):
+    rng = np.random.default_rng(6)
+    plain = [(" ".join(rng.choice([f"w{i}" for i in range(40)], 30)), int(i < 100)) for i in range(800)]
+    copied = " ".join(f"rare{i}" for i in range(30))
+    rows = spark.createDataFrame(plain + [(copied, 1)] * 40, "text string, _label int")
+    assert b"rare" not in toxicity.toxic_text(rows)
+
+
+def test_sampled_windows_reach_the_end_of_a_text(spark):
+    text = " ".join(f"a{i:03d}" for i in range(toxicity.WINDOW * (2 * toxicity.WINDOWS_EACH - 1)))
+    taken = toxicity.spread(toxicity.windows(toxicity.words_of(text)))
+    assert len(taken) == toxicity.WINDOWS_EACH and taken[-1] in toxicity.windows(toxicity.words_of(text))[-2:]
+
+
 def test_forest_splits_and_is_flat():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 3))

@@ -5,9 +5,11 @@ the same ordinary text. A window of words that compresses shorter with the secon
 something only toxic documents say. Statistics of a document's window gains go through
 boosted trees that calibrate them to a probability.
 
-The toxic text is chosen on a bounded, labelled sample (``max_rows``): words that
-recur in toxic documents and occur in no ordinary one, most frequent last. It lies
-furthest from the window, so what both dictionaries hold costs the same in both. To
+The toxic text is chosen on a bounded, labelled sample (``max_rows``): words and pairs of
+words that mark toxic documents by likelihood ratio, strongest last; an ordinary document
+that quotes one, or is mislabelled, only weakens it. It isn't trained by zstandard, which
+picks what is frequent and so mostly what ordinary text has too. It lies furthest from the
+window, so what both dictionaries hold costs the same in both. To
 calibrate, each half of the sample is judged by dictionaries of the other half, which
 haven't seen it; the dictionaries that score are of the whole sample.
 
@@ -19,20 +21,24 @@ rows. Repeated rows score alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import label_sample, map_batches, remainder_of_id, staged, text_batches, words_of
+from .common import label_sample, map_batches, remainder_of_id, staged, text_batches, unstage, words_of
 from .quality_gbt import fit_forest
 
 WINDOW, LEVEL = 16, 12
 #: Bytes of ordinary text and of toxic text in the dictionaries; windows taken from each sampled ordinary document.
 ORDINARY, TOXIC, WINDOWS_EACH = 250_000, 8_000, 12
-#: A toxic word recurs in this many documents, and in this share of the toxic ones, at least.
-RECURS, RECURS_SHARE = 4, 0.025
+#: The share of toxic rows with a toxic word or pair is this many times the share of ordinary ones, at least.
+RATIO = 5
 GAINS = "top1 double, top2 double, top3 double, top_mean double, share double, over2 double, over4 double, over6 double, mean double, length double"
 
 
@@ -40,6 +46,11 @@ def windows(words: list[bytes]) -> list[bytes]:
     return [b" ".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
 
 
+def spread(found: list[bytes]) -> list[bytes]:
+    """``WINDOWS_EACH`` of the windows, evenly over the whole text; all where there are fewer."""
+    return [found[i * len(found) // WINDOWS_EACH] for i in range(WINDOWS_EACH)] if len(found) > WINDOWS_EACH else found
+
+
 class Distance:
     """Gain in bytes of each window by the toxic dictionary over the ordinary one."""
 
@@ -74,37 +85,75 @@ def distance(ordinary: bytes, toxic: bytes) -> Distance:
 
 
 def toxic_text(rows: DataFrame) -> bytes:
-    """Words that recur in the toxic rows and are in no ordinary one, most frequent last. Counts are by document."""
-
-    def each(batch: pa.RecordBatch) -> dict:
-        counts: dict[bytes, list[int]] = {}
-        for text, label in zip(batch.column("text"), batch.column("_label").to_pylist(), strict=True):
-            for w in set(words_of(text.as_py())):
-                counts.setdefault(w, [0, 0])[int(label > 0)] += 1
-        return {"word": list(counts), "plain": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]}
-
-    counts = map_batches(rows.select("text", "_label"), each, "word binary, plain long, toxic long")
-    recurs = max(RECURS, int(RECURS_SHARE * rows.where("_label > 0").count()))
-    # Each word takes 2 bytes at least, so TOXIC / 2 words fill the dictionary.
-    found = counts.groupBy("word").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("n")).where((F.col("plain") == 0) & (F.col("n") >= recurs)).orderBy(F.desc("n"), "word").limit(TOXIC // 2).collect()
+    """Words, then pairs of neighbouring words without such a word, that mark the toxic rows by likelihood ratio; the strongest last."""
+    totals = rows.agg(F.count(F.when(F.col("_label") > 0, 1)).alias("toxic"), F.count("*").alias("n")).first()
+    toxic, n = totals["toxic"], totals["n"]
+    if not 0 < toxic < n:
+        return b""
+    words = marks(rows, 1, frozenset(), toxic, n)
+    pairs = marks(rows, 2, frozenset(words), toxic, n)
     out: list[bytes] = []
     room = TOXIC
-    for r in found:
-        room -= len(r["word"]) + 1
+    for w in words + pairs:
+        room -= len(w) + 1
         if room < 0:
             break
-        out.append(bytes(r["word"]))
+        out.append(w)
     return b" ".join(reversed(out))
 
 
+def around(words: list[bytes], width: int, known: frozenset[bytes], wanted: frozenset[bytes] | None) -> dict[bytes, tuple[int, int]]:
+    """Units of ``width`` words, of the ``wanted`` ones and without ``known`` words, each with hashes of the two words before and of the two after it, the least of its places. An end of the text has those of the other side."""
+    out: dict[bytes, tuple[int, int]] = {}
+    for i in range(len(words) - width + 1):
+        unit = words[i] if width == 1 else b" ".join(words[i : i + width])
+        if (wanted is None or unit in wanted) and (not known or known.isdisjoint(words[i : i + width])):
+            before, after = words[max(0, i - 2) : i], words[i + width : i + width + 2]
+            at = zlib.crc32(b" ".join(before or after)), zlib.crc32(b" ".join(after or before))
+            out[unit] = min(at, out.get(unit, at))
+    return out
+
+
+def marks(rows: DataFrame, width: int, known: frozenset[bytes], toxic: int, n: int) -> list[bytes]:
+    """Units of ``width`` words whose share of toxic rows is ``RATIO`` times that of ordinary ones, and not by chance, strongest first.
+
+    Twice the log-likelihood ratio exceeds twice the logarithm of the number of units tried, so
+    that about one passes by chance. A unit counts as often as the words before it and those
+    after it differ, as copies of a text are no further evidence. Only units frequent enough are counted in
+    ordinary rows.
+    """
+
+    def counted(part: DataFrame, wanted: frozenset[bytes] | None) -> DataFrame:
+        def each(batch: pa.RecordBatch) -> dict:
+            found = {x for text in batch.column("text") for x in around(words_of(text.as_py()), width, known, wanted).items()}
+            return {"unit": [u for u, _ in found], "before": [p for _, (p, _) in found], "after": [q for _, (_, q) in found]}
+
+        places = map_batches(part.select("text"), each, "unit binary, before long, after long")
+        return places.groupBy("unit").agg(F.least(F.count_distinct("before"), F.count_distinct("after")).alias("n"))
+
+    in_toxic = staged(counted(rows.where("_label > 0"), None), "toxic-units")
+    least = 2 * math.log(max(2, in_toxic.count()))
+    hits = {bytes(r["unit"]): r["n"] for r in in_toxic.where(F.col("n") * (2 * math.log(n / toxic)) > least).collect()}
+    unstage(in_toxic)
+    if not hits:
+        return []
+    plain = {bytes(r["unit"]): r["n"] for r in counted(rows.where("_label <= 0"), frozenset(hits)).collect()}
+    found = []
+    for unit, k in hits.items():
+        p = plain.get(unit, 0)
+        ratio = 2 * (k * math.log(k * n / ((k + p) * toxic)) + (p * math.log(p * n / ((k + p) * (n - toxic))) if p else 0))
+        if ratio > least and k * (n - toxic) >= RATIO * p * toxic:
+            found.append((-ratio, unit))
+    return [unit for _, unit in sorted(found)]
+
+
 def ordinary_text(rows: DataFrame) -> bytes:
     """A dictionary that zstandard trains on windows spread over the ordinary rows."""
 
     def each(batch: pa.RecordBatch) -> dict:
         out = []
         for text in batch.column("text"):
-            ws = windows(words_of(text.as_py()))
-            out += ws[:: max(1, len(ws) // WINDOWS_EACH)][:WINDOWS_EACH]
+            out += spread(windows(words_of(text.as_py())))
         return {"w": out}
 
     found = [bytes(r["w"]) for r in map_batches(rows.where("_label = 0").select("text"), each, "w binary").collect()]
