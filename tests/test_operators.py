@@ -28,6 +28,12 @@ def test_holes_and_subtraction(spark):
     assert [(r.id, r.part_start, r.part_end) for r in parts] == [(0, 0, 2), (0, 6, 10), (1, 20, 30)]
 
 
+def test_a_key_outside_the_window_is_one_hole(spark):
+    rows = spark.createDataFrame([("in", 1, 5, 10), ("late", 2, 40, 50), ("early", 3, -9, 0), ("empty", 4, 7, 7)], "k string, id int, s long, e long")
+    got = sorted((r.k, r.hole_start, r.hole_end) for r in temporal.holes(rows, ["k"], "s", "e", "id", 0, 30).collect())
+    assert got == [("early", 0, 30), ("empty", 0, 30), ("in", 0, 5), ("in", 10, 30), ("late", 0, 30)]
+
+
 def test_hysteresis_needs_to_exceed_on_and_holds_at_off(spark):
     values = [0, 3, 5, 9, 5, 3, 3, 2, 3, 9, 1]
     rows = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "k string, t int, v int")

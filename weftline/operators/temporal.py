@@ -53,12 +53,13 @@ def transitions(df: DataFrame, keys: Keys, time: str, row_id: str, value: str) -
 
 
 def holes(df: DataFrame, keys: Keys, start: str, end: str, row_id: str, low: int | float, high: int | float) -> DataFrame:
-    """Parts of ``[low, high)`` that no interval of the key covers."""
-    spans = df.select(*keys, F.greatest(F.col(start), F.lit(low)).alias(start), F.least(F.col(end), F.lit(high)).alias(end), F.col(row_id)).where(F.col(end) > F.col(start))
-    whole = merged(spans, keys, start, end, row_id)
+    """Parts of ``[low, high)`` that no interval of the key covers: all of it for a key whose intervals lie outside."""
+    spans = df.select(*keys, F.greatest(F.col(start), F.lit(low)).alias(start), F.least(F.col(end), F.lit(high)).alias(end), F.col(row_id))
+    inside = F.col(end) > F.col(start)
+    whole = merged(spans.where(inside), keys, start, end, row_id)
     order = W.Window.partitionBy(*keys).orderBy(start)
     before = whole.select(*keys, F.coalesce(F.lag(end).over(order), F.lit(low)).alias("hole_start"), F.col(start).alias("hole_end"))
-    after = whole.groupBy(*keys).agg(F.max(end).alias("hole_start"), F.lit(high).cast(df.schema[end].dataType).alias("hole_end"))
+    after = spans.groupBy(*keys).agg(F.coalesce(F.max(F.when(inside, F.col(end))), F.lit(low)).alias("hole_start"), F.lit(high).cast(df.schema[end].dataType).alias("hole_end"))
     return before.unionByName(after).where("hole_end > hole_start")
 
 

@@ -87,6 +87,16 @@ def uncovered_holes(spark: SparkSession, d: str) -> DataFrame:
     return temporal.holes(intervals(spark, d), ["user_id"], "us", "e", "event_id", 1704067200000000, 1704672000000000)
 
 
+@query(f"""WITH {SPANS}, w AS (SELECT min(us) AS low, max(us) AS high FROM iv), c AS (SELECT user_id, us, least(e, high) AS e, event_id FROM iv, w), k AS (SELECT * FROM c WHERE e > us),
+o AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM k),
+h AS (SELECT user_id, coalesce(p, low) AS hole_start, us AS hole_end FROM o, w UNION ALL SELECT user_id, coalesce(max(e) FILTER (e > us), any_value(low)), any_value(high) FROM c, w GROUP BY 1)
+SELECT * FROM h WHERE hole_end > hole_start""")
+def uncovered_holes_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Holes of every user between the first and the last event of all."""
+    low, high = events(spark, d).agg(F.min("us"), F.max("us")).first()
+    return temporal.holes(intervals(spark, d), ["user_id"], "us", "e", "event_id", low, high)
+
+
 @query(f"""WITH {SPANS}, sp AS (SELECT event_id, user_id, us, us + {4 * HOUR} AS e FROM iv WHERE event_type = 'view'), cu AS (SELECT event_id AS cid, user_id, us AS cs, us + {HOUR // 2} AS ce FROM iv WHERE event_type = 'click'),
 hit AS (SELECT s.user_id, s.event_id, s.us, s.e, cid, cs, ce FROM sp s JOIN cu c USING (user_id) WHERE cs < e AND ce > us),
 o AS (SELECT *, max(ce) OVER (PARTITION BY user_id, event_id ORDER BY cs, cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM hit),
