@@ -165,6 +165,22 @@ def test_recall_of_shards(spark, monkeypatch):
     assert len(got) == 200 and len(got & best) / len(best) >= 0.95
 
 
+@pytest.mark.parametrize(("n", "centres", "noise"), [(8192, 0, 1.0), (4096, 40, 0.02), (8192, 200, 0.05)])
+def test_recall_of_full_and_clustered_graphs(n, centres, noise):
+    rng = np.random.default_rng(n + centres)
+    v = noise * rng.normal(size=(n, 64))
+    if centres:
+        c = rng.normal(size=(centres, 64))
+        v += (c / np.linalg.norm(c, axis=1, keepdims=True))[rng.integers(0, centres, n)]
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    levels = neighbours.build(v)
+    assert neighbours._reached(levels[0]).all()
+    asked = v[:: n // 200]
+    found = neighbours.search(v, levels, asked)
+    exact = np.argsort(-(asked @ v.T), axis=1)[:, :6]
+    assert np.mean([len(set(f[:6]) & set(e)) / 6 for f, e in zip(found, exact, strict=True)]) >= 0.97
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 

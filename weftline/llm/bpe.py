@@ -23,12 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, text_batches
+from .common import map_batches, schema_of
 
 #: Words this long in bytes take the heap.
 LONG_WORD = 200
-#: Words remembered by a worker; then it starts anew. About 150 bytes each.
-MOST_WORDS = 1_000_000
+#: Words remembered by a worker, about 200 bytes each. As many from before are still known, and those met again stay.
+MOST_WORDS = 100_000
 #: The published split of byte-level BPE into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for ASCII text, where the standard library's engine serves.
@@ -49,6 +49,7 @@ class Bpe(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, vocab = byte_letters(), spec["model"]["vocab"]
@@ -66,7 +67,11 @@ class Bpe(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MOST_WORDS:
+            self.older = dict(self)
             self.clear()
+        if (out := self.older.get(word)) is not None:
+            self[word] = out
+            return out
         data = word.encode("utf-8")
         ids = (self._long if len(data) >= LONG_WORD else self._short)([self.first[b] for b in data])
         out = struct.pack(f"<{len(ids)}I", *ids)
@@ -141,8 +146,6 @@ def bpe(name: str) -> Bpe:
 
 def round_trips(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """``doc_id``, ``n_tokens``, and SHA-256 digests of the ids (32-bit, little-endian) and of the text decoded from them."""
-    text_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batch: pa.RecordBatch) -> dict:
         coder = bpe(vocabulary)
@@ -154,4 +157,4 @@ def round_trips(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataF
             "decoded_sha256": [hashlib.sha256(coder.decode(x).encode("utf-8")).hexdigest() for x in ids],
         }
 
-    return map_batches(docs.select("doc_id", "text"), each, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), each, schema_of(docs, ("doc_id",), "n_tokens long, ids_sha256 string, decoded_sha256 string"))

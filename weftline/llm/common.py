@@ -10,24 +10,29 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-#: Rows in one Arrow batch of texts: a batch of texts of 100,000 characters stays under about 100 MB.
-TEXT_BATCH = 500
+#: Bytes of text, or of sets, that a Python worker works on at once. Spark's own batches are bounded in bytes too
+#: (``spark.sql.execution.arrow.maxBytesPerBatch``); no setting of the session is touched.
+SLICE_BYTES = 4 << 20
 
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's own checkpoint folder. On a single machine without either, as in tests, one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="weftline-"))
-        spark.sparkContext.setCheckpointDir(_own_dir[0])
     return f"file://{_own_dir[0]}"
 
 
@@ -56,23 +61,36 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Small Arrow batches, so that very long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+def schema_of(df: DataFrame, columns: tuple[str, ...], more: str) -> StructType:
+    """Fields of ``columns``, whatever their names and types, and those of the DDL ``more``."""
+    return StructType([*(StructField(c, df.schema[c].dataType) for c in columns), *StructType.fromDDL(more).fields])
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """Arrow batch in, dict of columns out."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts and binaries add up to ``most`` bytes or less, or in single rows."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        past = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, past + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
+
+def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict | None], schema: str | StructType) -> DataFrame:
+    """Arrow batch in, dict of columns out; a batch is cut by :func:`slices` first."""
     importable(df.sparkSession)
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := each(b)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=True) for f in arrow], schema=arrow)
+        for whole in batches:
+            for b in slices(whole):
+                if (out := each(b)) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=True) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -80,7 +98,8 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict | None], sc
 class WordHashes(dict):
     """64-bit hash of each word; forgets all when full, so that memory stays bounded."""
 
-    LIMIT = 400_000
+    #: About 150 bytes each, in every Python worker.
+    LIMIT = 60_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, mixed, remainder_of_id, staged, text_batches, word_hashes, words_of
+from .common import importable, mixed, remainder_of_id, staged, word_hashes, words_of
 
 K, BLOCK_BYTES, BUCKET_TOKENS, SPREAD = 5, 8_000_000, 1_500_000, 4
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
@@ -302,7 +302,6 @@ def _swept(spark) -> None:
 def katz_scores(docs: DataFrame, *, folds: int = 7, held_fold: int = 2) -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one unigrams) and ``score`` (Katz), log10."""
     spark = docs.sparkSession
-    text_batches(spark)
     importable(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", remainder_of_id("doc_id", folds) == held_fold)
     blocks = staged(_blocks(rows), "blocks")
@@ -310,7 +309,6 @@ def katz_scores(docs: DataFrame, *, folds: int = 7, held_fold: int = 2) -> DataF
     if not tokens:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     bits = max(0, int(tokens // BUCKET_TOKENS).bit_length())
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row holds a block
     asked = blocks.mapInArrow(_word_requests(bits), MADE)
     answers = staged(asked.groupBy("bucket").applyInArrow(_count_words, MADE), "word-counts")
     _swept(spark)

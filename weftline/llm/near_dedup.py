@@ -10,7 +10,8 @@ How pairs stay few without losing a link:
 * Values are ordered from rare to common. Two linked sets share at least ``overlap()`` of
   their ``SKETCH`` retained values (each of the union's least k is shared with
   the probability of their similarity), so
-  they share one among the ``SKETCH - overlap() + 1`` rarest of each; the others get no list.
+  they share one among the ``SKETCH - overlap() + 1`` rarest of each; the others get no list. ``overlap()`` leaves
+  out a linked pair in some ten million; sets of ``SKETCH`` values or fewer are their own sketch, and exact.
 * Short lists give all their pairs, at most ``SHORT`` for a member.
 * Long lists compare all members with a few pivots, central ones among them, and links are merged to components.
   Pairs inside one component need no look.
@@ -18,7 +19,7 @@ How pairs stay few without losing a link:
   sets: of n shingles, the rarest n - ceil(0.85 n) + 1, where what is left after a shared
   value must suffice. No list or partner is capped.
 
-Null and empty texts have no shingles and link with nothing. Rows of a null id get a
+Very long texts are whole sets, held one pair at a time. Null and empty texts have no shingles and link with nothing. Rows of a null id get a
 null component and are kept. Rows that repeat an id are one node with all their texts.
 Ties go to the smaller id. An empty table gives an empty result; other columns are ignored.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import map_batches, shingle_hashes, staged, text_batches, unstage, word_hashes, words_of
+from .common import map_batches, shingle_hashes, staged, unstage, word_hashes, words_of
 from .components import components
 
 SKETCH, SHORT, PIVOTS = 48, 16, 6
@@ -48,7 +49,6 @@ def overlap(percent: int) -> int:
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id``, ``n_shingles``, a digest of the set and its bottom-k sketch."""
-    text_batches(docs.sparkSession)
 
     def each(batch: pa.RecordBatch) -> dict:
         sets = [shingle_hashes(word_hashes(words_of(t.as_py())), width) for t in batch.column("text")]
@@ -66,7 +66,7 @@ def _values(classes: DataFrame, column: str) -> DataFrame:
     """A row for each value of each class: ``id``, ``n``, ``value``."""
 
     def each(batch: pa.RecordBatch) -> dict:
-        sets = [np.frombuffer(s.as_py(), dtype=np.int64) for s in batch.column(column)]
+        sets = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in batch.column(column)]
         sizes = [len(s) for s in sets]
         return {"id": np.repeat(batch.column("id").to_numpy(), sizes), "n": np.repeat(batch.column("n").to_numpy(), sizes), "value": np.concatenate(sets)}
 
@@ -110,37 +110,23 @@ def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return lists.join(pivots, "value").where(F.col("id") != F.col("other")).where(_alike_sizes(percent)).select("id", "other")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs ``a``, ``b``: those whose full sets are alike enough. Estimates from sketches come first, if sketches are given."""
-
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs ``a``, ``b``: those whose sets are alike enough. The first ``SKETCH`` values of a sorted set are its sketch: the estimate from both sketches comes first, exact Jaccard settles what it lets through."""
     shared = overlap(percent)
 
-    def likely(batch: pa.RecordBatch) -> dict:
-        keep = []
-        for s, t, n, m in zip(*(batch.column(c).to_pylist() for c in ("s", "t", "n", "m")), strict=True):
-            s, t = np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64)
-            union, times = np.unique(np.concatenate([s, t]), return_counts=True)
-            if n <= SKETCH and m <= SKETCH:
-                keep.append(100 * int((times == 2).sum()) >= percent * len(union))
-            else:
-                keep.append(int((times[:SKETCH] == 2).sum()) >= shared)
-        return {"a": batch.column("a").filter(pa.array(keep)), "b": batch.column("b").filter(pa.array(keep))}
-
-    def alike(batch: pa.RecordBatch) -> dict:
-        keep = []
-        for s, t in zip(*(batch.column(c).to_pylist() for c in ("s", "t")), strict=True):
-            s, t = np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(100 * both >= percent * (len(s) + len(t) - both))
-        return {"a": batch.column("a").filter(pa.array(keep)), "b": batch.column("b").filter(pa.array(keep))}
-
-    def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        left = table.select(F.col("id").alias("a"), F.col(column).alias("s"), "n")
-        right = table.select(F.col("id").alias("b"), F.col(column).alias("t"), F.col("n").alias("m"))
-        return pairs.join(left, "a").join(right, "b")
-
-    passed = pairs if sketches is None else map_batches(with_both(pairs, sketches, "sketch"), likely, "a long, b long")
-    return map_batches(with_both(passed, sets, "shingles"), alike, "a long, b long")
+    def alike(s: np.ndarray, t: np.ndarray) -> bool:
+        union, times = np.unique(np.concatenate([s[:SKETCH], t[:SKETCH]]), return_counts=True)
+        if (len(s) > SKETCH or len(t) > SKETCH) and int((times[:SKETCH] == 2).sum()) < shared:
+            return False
+        both = len(np.intersect1d(s, t, assume_unique=True))
+        return 100 * both >= percent * (len(s) + len(t) - both)
+
+    def each(batch: pa.RecordBatch) -> dict:
+        keep = pa.array([alike(np.frombuffer(s.as_buffer(), dtype=np.uint64), np.frombuffer(t.as_buffer(), dtype=np.uint64)) for s, t in zip(batch.column("s"), batch.column("t"), strict=True)], type=pa.bool_())
+        return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
+
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
+    return map_batches(pairs.join(left, "a").join(right, "b"), each, "a long, b long")
 
 
 def _labelled(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,9 +166,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     wanted = lists.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     sets = staged(map_batches(texts, shingled, "id long, n long, shingles binary"), "sets")
-    verified = lambda pairs, by, name: staged(_verified(_ordered(pairs), by, sets, percent), name)
+    verified = lambda pairs, name: staged(_verified(_ordered(pairs), sets, percent), name)
 
-    links = verified(_short_pairs(short, percent).unionAll(_pivot_pairs(long, percent)), classes, "links")
+    links = verified(_short_pairs(short, percent).unionAll(_pivot_pairs(long, percent)), "links")
     apart, outside = _labelled(long, links)
     rest = sets.join(apart.select("id", "label").distinct(), "id")
     full = _lists(_values(rest.select("id", "n", "shingles"), "shingles"), F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
@@ -193,12 +179,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     left = F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("other_rank")) + 1
     enough = left * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     pairs = seekers.join(found, "value").where(F.col("label") != F.col("other_label")).where(_alike_sizes(percent)).where(enough).select("id", "other")
-    # Pairs of the prefix filter are nearly all likely by their sketches too: those would be another join for nothing.
-    links = links.unionAll(verified(pairs, None, "links"))
+    more = verified(pairs, "links")
+    made, links = [links, more], links.unionAll(more)
 
     copies = some.join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     roots = components(copies.unionAll(links.select("a", "b")))
-    unstage(classes, lists, sets, full)
+    unstage(classes, lists, apart, sets, full, *made)
     out = sketches.select("doc_id", "n_shingles").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 

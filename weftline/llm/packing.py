@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .bpe import bpe
-from .common import map_batches, staged, text_batches
+from .common import map_batches, staged
 
 SEQUENCE, WINDOW, BLOCK = 1024, 32 * 1024, 2_000_000
 #: The end token, id 0, as 32 bits.
@@ -34,7 +34,6 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id``, ``source``, ``n`` (tokens with the end) and ``ids`` as 32-bit integers."""
-    text_batches(docs.sparkSession)
 
     def each(batch: pa.RecordBatch) -> dict:
         coder = bpe(vocabulary)

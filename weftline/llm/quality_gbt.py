@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import label_sample, map_batches, remainder_of_id, staged
+from .common import label_sample, map_batches, remainder_of_id, schema_of, staged
 from .textstats import COUNTS, SHAPE, with_stats
 
 INPUTS = (*COUNTS, *SHAPE)
@@ -127,7 +127,7 @@ def scored(stats: DataFrame, forest: Forest, keep: str) -> DataFrame:
         counts = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in INPUTS])
         return {keep: batch.column(keep), "score": forest.score(features(counts))}
 
-    return map_batches(stats, each, f"{keep} {stats.schema[keep].dataType.simpleString()}, score double")
+    return map_batches(stats, each, schema_of(stats, (keep,), "score double"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_fold: int = 0, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, text_batches
+from .common import map_batches, schema_of
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHAPE = ("n_chars", "n_lines", "n_distinct", "n_upper", "n_lower", "n_digit", "n_bang", "n_pipe", "n_punct", "n_other", "longest_word", "top_word", "n_stop_like", "n_line_ends")
@@ -73,12 +73,10 @@ def stats_of(text: str | None) -> tuple[int, ...]:
 
 def with_stats(df: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of the rows, and the statistics of their whole texts."""
-    text_batches(df.sparkSession)
-    kept = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
     names = (*COUNTS, *SHAPE)
 
     def each(batch: pa.RecordBatch) -> dict:
         table = np.array([stats_of(t.as_py()) for t in batch.column("text")], dtype=np.int64).reshape(-1, len(names))
         return {c: batch.column(c) for c in columns} | {c: table[:, i] for i, c in enumerate(names)}
 
-    return map_batches(df.select("text", *columns), each, f"{kept}, {SCHEMA}")
+    return map_batches(df.select("text", *columns), each, schema_of(df, columns, SCHEMA))

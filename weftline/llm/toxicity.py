@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import label_sample, map_batches, remainder_of_id, staged, text_batches, unstage, words_of
+from .common import label_sample, map_batches, remainder_of_id, schema_of, staged, unstage, words_of
 from .quality_gbt import fit_forest
 
 WINDOW, LEVEL = 16, 12
@@ -165,7 +165,6 @@ def ordinary_text(rows: DataFrame) -> bytes:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_fold: int = 1, threshold: float = 0.7, max_rows: int = 20_000) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` of each document."""
-    text_batches(docs.sparkSession)
     held = remainder_of_id("doc_id", folds) == held_fold
     sample = label_sample(labels, "toxic", ~held, max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -192,6 +191,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_
     def scored(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "score": forest.score(gains(batch, whole))}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = map_batches(docs.select("doc_id", "text"), scored, f"doc_id {kind}, score double")
+    out = map_batches(docs.select("doc_id", "text"), scored, schema_of(docs, ("doc_id",), "score double"))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
