@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,10 +24,11 @@ def short_digest(value: Column, length: int) -> Column:
 
 
 def fitted_id(base: Column, suffix: Column, most: int = 128) -> Column:
-    """``base:suffix``, where a base that makes it too long is cut and ends in a digest of the whole."""
+    """``base:suffix``, or where that is too long ``<start of base>:h<16 hex of the base's SHA-256>:suffix``; an error where the suffix leaves no room."""
     whole = F.concat(base, F.lit(":"), suffix)
-    room = F.lit(most - 18) - F.length(suffix)
-    cut = F.concat(F.substr(base, F.lit(1), room), F.lit("~"), short_digest(whole, 16), F.lit(":"), suffix)
+    tail = F.concat(F.lit(":h"), short_digest(base, 16), F.lit(":"), suffix)
+    room = F.lit(most) - F.length(tail)
+    cut = F.when(room >= 1, F.concat(F.substr(base, F.lit(1), room), tail)).otherwise(F.raise_error(F.concat(F.lit("the suffix is too long: "), suffix)))
     return F.when(F.length(whole) <= most, whole).otherwise(cut)
 
 
@@ -34,7 +37,22 @@ def set_digest(values: Column) -> Column:
     return F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(values.cast("string")))).cast("binary"), 256)
 
 
-def pseudonym(kind: str, value: Column, key: str) -> Column:
-    """Keyed pseudonym ``kind-<16 hex>``: SHA-256 of a doubly keyed text, in the manner of HMAC."""
-    inner = F.sha2(F.concat(F.lit(f"{key}|inner|"), value.cast("string")).cast("binary"), 256)
-    return F.when(value.isNotNull(), F.concat(F.lit(f"{kind}-"), short_digest(F.concat(F.lit(f"{key}|outer|"), inner), 16)))
+def hmac(key: bytes, message: Column) -> Column:
+    """HMAC-SHA256 as hex digits."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def export_key(secret: str, export_id: str) -> bytes:
+    """The key of one export's pseudonyms; the secret itself never enters a plan."""
+    import hmac as keyed
+
+    return keyed.new(secret.encode(), export_id.encode(), hashlib.sha256).digest()
+
+
+def pseudonym(kind: str, value: Column, key: bytes | None) -> Column:
+    """Keyed pseudonym ``kind-<16 hex>``, the start of the HMAC of ``kind:value``; without a key the value itself."""
+    if key is None:
+        return value.cast("string")
+    return F.when(value.isNotNull(), F.concat(F.lit(f"{kind}-"), F.substring(hmac(key, F.concat(F.lit(f"{kind}:"), value.cast("string"))), 1, 16)))

@@ -4,30 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
+from .settled import settled
 
-def closure(edges: DataFrame, roots: DataFrame, child: str, parent: str, most_rounds: int = 200) -> DataFrame:
-    """Ids in ``roots`` (column ``id``) and all that descend from them. Each round is checkpointed; a cycle ends it like any other path."""
-    found, front = roots.select("id").distinct(), roots.select("id").distinct()
-    links = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("_child"), F.col(parent).alias("_parent"))
-    for _ in range(most_rounds):
-        front = links.join(front, links["_parent"] == front["id"]).select(F.col("_child").alias("id")).distinct().join(found, "id", "left_anti").checkpoint()
-        if front.isEmpty():
-            return found
-        found = found.unionAll(front).checkpoint()
-    raise RuntimeError(f"a chain is longer than {most_rounds}")
 
+def _linked(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """``id`` and ``up`` of each record; a parent that is no record counts as none."""
+    rows = edges.select(F.col(child).alias("id"), F.col(parent).alias("up"))
+    known = rows.select(F.col("id").alias("up"), F.lit(True).alias("_known")).distinct()
+    return rows.join(known, "up", "left").select("id", F.when(F.col("_known"), F.col("up")).alias("up"))
 
-def chain_roots(edges: DataFrame, child: str, parent: str, most_rounds: int = 40) -> DataFrame:
-    """``id``, ``root`` and ``depth`` of each record, by doubling the distance looked up: about log2 of the longest chain rounds."""
-    now = edges.select(F.col(child).alias("id"), F.coalesce(F.col(parent), F.col(child)).alias("root"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    for _ in range(most_rounds):
+
+def closure(edges: DataFrame, roots: DataFrame, child: str, parent: str) -> DataFrame:
+    """Ids in ``roots`` (column ``id``) and all that descend from them.
+
+    Every record looks up its ancestor at double the distance of the round before, and stops at
+    the first one in ``roots``: about log2 of the longest chain rounds, whatever its length. A
+    cycle ends after as many rounds as the number of records has bits.
+    """
+    marked = roots.select("id").distinct()
+    hit = marked.select("id", F.lit(True).alias("_hit"))
+    rows = edges.select(F.col(child).alias("id"), F.col(parent).alias("up"))
+    now = rows.join(hit, "id", "left").join(hit.select(F.col("id").alias("up"), F.col("_hit").alias("_above")), "up", "left")
+    now = settled(now.select("id", "up", F.coalesce("_hit", "_above", F.lit(False)).alias("hit")))
+    for _ in range(now.count().bit_length() + 1):
+        if now.where("up is not null and not hit").isEmpty():
+            break
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("hit").alias("_hit"))
+        now = settled(now.join(above, "up", "left").select("id", F.when(~F.col("hit"), F.col("_up")).alias("up"), (F.col("hit") | F.coalesce("_hit", F.lit(False))).alias("hit")))
+    return marked.unionAll(now.where("hit").select("id")).distinct()
+
+
+def chain_roots(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """``id``, ``root`` and ``depth`` of each record, by doubling the distance looked up: about log2 of the longest chain rounds.
+
+    A chain ends at a record without a parent, or whose parent isn't there. One that runs into a
+    cycle ends where it enters, so each record of a cycle is its own root.
+    """
+    links = settled(_linked(edges, child, parent))
+    rounds = links.count().bit_length() + 1
+    now = links.select("id", F.coalesce("up", "id").alias("root"), F.col("up").isNotNull().cast("long").alias("depth"))
+    for _ in range(rounds):
         up = now.select(F.col("id").alias("root"), F.col("root").alias("_up"), F.col("depth").alias("_more"))
-        now = now.join(up, "root", "left").select("id", F.coalesce("_up", "root").alias("root"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), (F.col("_more") > 0).alias("_moved")).checkpoint()
-        if now.where("_moved").isEmpty():
-            return now.drop("_moved")
-        now = now.drop("_moved")
-    raise RuntimeError("chains don't end; the parents hold a cycle")
+        both = settled(now.join(up, "root").select("id", F.col("_up").alias("root"), (F.col("depth") + F.col("_more")).alias("depth"), (F.col("_more") > 0).alias("_moved")))
+        now = both.drop("_moved")
+        if both.where("_moved").isEmpty():
+            return now
+    # What still moves after so many steps is in a cycle now: these records are the ends of their chains.
+    cycle = both.where("_moved").select(F.col("root").alias("id"), F.lit(True).alias("_cycle")).distinct()
+    cut = links.join(cycle, "id", "left").select("id", F.when(F.col("_cycle").isNull(), F.col("up")).alias("up"))
+    return chain_roots(cut, "id", "up")
 
 
 def current(records: DataFrame, record_id: str, parent: str, retracted: Column, non_operational: Column | None = None) -> DataFrame:
@@ -48,8 +75,6 @@ def allowed_transition(states: list[str], terminal: str, before: str, after: str
 
 def lifecycle_faults(events: DataFrame, keys: list[str], order: list[str], before: str, after: str, states: list[str], terminal: str) -> DataFrame:
     """Events that no rule allows, or that don't start where the event before ended."""
-    from pyspark.sql import window as W
-
     last = F.lag(after).over(W.Window.partitionBy(*keys).orderBy(*order))
     broken = F.coalesce(last != F.col(before), F.lit(False)) | ~F.coalesce(allowed_transition(states, terminal, before, after), F.lit(False))
     return events.withColumn("_broken", broken).where("_broken").drop("_broken")

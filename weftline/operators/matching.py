@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+from pyspark.sql.types import LongType, StructField, StructType
+
+from .streamed import streamed
 
 Keys = Sequence[str]
 #: Cost of a pair that isn't allowed.
@@ -64,16 +67,29 @@ def assigned(pairs: DataFrame, group: Keys, left: str, right: str, cost: str) ->
 def event_matches(truth: DataFrame, found: DataFrame, keys: Keys, time: str, tolerance: int) -> DataFrame:
     """Hits, misses and false alarms per key: events match one to one within an inclusive tolerance, as many as can be.
 
-    Events further apart than the tolerance can't meet through any chain, so each key's
-    timeline falls into clusters that are matched apart: a long timeline isn't one task's.
+    On a line the earliest truth and the earliest find that are near enough can always be a pair
+    of a largest matching. So events pass in order of time, and only those still waiting are
+    held: no more than fall within the tolerance.
     """
     both = truth.select(*keys, F.col(time).alias("at"), F.lit(True).alias("real")).unionAll(found.select(*keys, F.col(time).alias("at"), F.lit(False).alias("real")))
-    line = W.Window.partitionBy(*keys).orderBy("at", F.desc("real"))
-    apart = F.coalesce(F.col("at") - F.lag("at").over(line) > tolerance, F.lit(True))
-    both = both.withColumn("cluster", F.sum(apart.cast("int")).over(line)).withColumn("no", F.row_number().over(line))
-    a, b = both.where("real").select(*keys, "cluster", F.col("no").alias("a"), F.col("at").alias("ta")), both.where("not real").select(*keys, "cluster", F.col("no").alias("b"), F.col("at").alias("tb"))
-    near = a.join(b, [*keys, "cluster"]).withColumn("cost", F.abs(F.col("ta") - F.col("tb")).cast("double")).where(F.col("cost") <= tolerance)
-    hits = assigned(near, [*keys, "cluster"], "a", "b", "cost").groupBy(*keys).agg(F.count("*").alias("hits"))
-    totals = both.groupBy(*keys).agg(F.sum(F.col("real").cast("long")).alias("truths"), F.sum((~F.col("real")).cast("long")).alias("finds"))
-    hits_or_none = F.coalesce("hits", F.lit(0))
-    return totals.join(hits, list(keys), "left").select(*keys, hits_or_none.alias("hits"), (F.col("truths") - hits_or_none).alias("misses"), (F.col("finds") - hits_or_none).alias("false_alarms"))
+
+    def row(state: dict) -> list[dict]:
+        return [state["key"] | {"hits": state["hits"], "misses": state["seen"][True] - state["hits"], "false_alarms": state["seen"][False] - state["hits"]}]
+
+    def step(state: dict | None, event: dict) -> tuple[dict, list[dict]]:
+        if state is None:
+            state = {"key": {k: event[k] for k in keys}, "hits": 0, "seen": {True: 0, False: 0}, "waiting": deque(), "kind": True}
+        waiting, real, at = state["waiting"], event["real"], event["at"]
+        state["seen"][real] += 1
+        while waiting and at - waiting[0] > tolerance:
+            waiting.popleft()
+        if waiting and state["kind"] != real:
+            waiting.popleft()
+            state["hits"] += 1
+        else:
+            state["kind"] = real
+            waiting.append(at)
+        return state, []
+
+    schema = StructType([*(both.schema[k] for k in keys), *(StructField(c, LongType()) for c in ("hits", "misses", "false_alarms"))])
+    return streamed(both, keys, ["at", "real"], step, schema, end=row)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.bounds import upper
 from ..functions.hashing import draw, seeded
 
 
@@ -65,30 +65,4 @@ def plan(units: DataFrame, unit_id: str, priority: Column, reviewers: Sequence[s
 
 def binomial_upper(k: int, n: float, confidence: float = 0.95) -> float:
     """Exact one-sided upper bound of a proportion: the p at which k or fewer of n are as rare as 1 - confidence. ``n`` may be an effective size."""
-    if n <= 0:
-        return math.nan
-    if k >= n:
-        return 1.0
-    low, high, a, b = 0.0, 1.0, k + 1.0, n - k
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if _beta_share(mid, a, b) < confidence else (low, mid)
-    return (low + high) / 2
-
-
-def _beta_share(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x in (0.0, 1.0):
-        return x
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_share(1 - x, b, a)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d, out = 1.0, 1 / (1 - (a + b) * x / (a + 1)), 0.0
-    out = d
-    for m in range(1, 300):
-        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 / (1 + step * d), 1 + step / c
-            out *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * out
+    return float(upper([k], [n], confidence)[0])

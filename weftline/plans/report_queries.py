@@ -194,22 +194,17 @@ def group_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.assigned(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 11, {"train": 0.8, "val": 0.1, "test": 0.1}).select("o_orderkey", "split")
 
 
-@query("""WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS w, l_partkey AS s FROM lineitem WHERE l_partkey % 97 = 0 OR l_suppkey % 31 = 0), e AS (SELECT DISTINCT a.w AS w, b.w AS v FROM p a JOIN p b USING (s)),
-r(w, v) AS (SELECT w, v FROM e UNION SELECT r.w, e.v FROM r JOIN e ON r.v = e.w) SELECT w, min(v) AS "group" FROM r GROUP BY 1""")
-def linked_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers linked through parts over the lines that a modulo of the ids keeps, as its SQL says: links through other lines, and suppliers without a kept line, are missing. ``linked_groups_whole`` has them."""
-    rows = table(spark, d, "lineitem").where("l_partkey % 97 = 0 or l_suppkey % 31 = 0").select(F.col("l_suppkey").alias("w"), F.col("l_partkey").alias("s"))
-    return splits.linked_groups(rows, "w", "s").select("w", "group").distinct()
-
-
 @query("""WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS w, l_partkey AS s FROM lineitem), e AS (SELECT DISTINCT a.w AS w, b.w AS v FROM p a JOIN p b USING (s)),
 r(w, v) AS (SELECT w, v FROM e UNION SELECT r.w, e.v FROM r JOIN e ON r.v = e.w) SELECT w, min(v) AS "group" FROM r GROUP BY 1""")
-def linked_groups_whole(spark: SparkSession, d: str) -> DataFrame:
+def linked_groups(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers linked through parts, directly or not, over all lines."""
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("w"), F.col("l_partkey").alias("s"))
     return splits.linked_groups(rows, "w", "s").select("w", "group").distinct()
 
 
+linked_groups_whole = linked_groups
+
+
 @query("""SELECT c_nationkey, count(DISTINCT CASE WHEN o_custkey % 10 < 8 THEN 'train' ELSE 'val' END) AS splits FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING splits > 1""")
 def split_leaks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
@@ -270,9 +265,13 @@ def input_digests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(hashing.set_digest(F.col("o_orderkey")).alias("digest"))
 
 
-@query("""SELECT c_custkey, 'worker-' || substr(sha256('k1|outer|' || sha256('k1|inner|' || c_name)), 1, 16) AS pseudonym FROM customer""")
+_KEY = hashing.export_key("k1", "export-1")
+_PADS = ["".join(f"{b ^ pad:02x}" for b in _KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(f"""SELECT c_custkey, 'worker-' || substr(sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode('worker:' || c_name)))), 1, 16) AS pseudonym FROM customer""")
 def pseudonyms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", hashing.pseudonym("worker", F.col("c_name"), "k1").alias("pseudonym"))
+    return table(spark, d, "customer").select("c_custkey", hashing.pseudonym("worker", F.col("c_name"), _KEY).alias("pseudonym"))
 
 
 @query("""SELECT event_id, strftime(ts, '%G-W%V') AS week, CASE WHEN ms // 3600000 > 0 THEN (ms // 3600000) || ':' ELSE '' END || lpad(CAST(ms // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') || '.' || (ms // 100 % 10) AS clock

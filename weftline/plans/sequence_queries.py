@@ -102,21 +102,32 @@ def coverage_errors(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").join(truth, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("quality") - guess)), 9).alias("error"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {EVENTS}, t AS (SELECT user_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i FROM e0 WHERE event_type = 'purchase'), f AS (SELECT user_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us) AS j FROM e0 WHERE event_type = 'click'),
+n AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS t, count(*) FILTER (WHERE event_type = 'click') AS f FROM e0 WHERE event_type IN ('purchase', 'click') GROUP BY 1),
+r(user_id, i, j, hits) AS (SELECT user_id, 1, 1, 0 FROM n UNION ALL SELECT r.user_id, CASE WHEN f.us - t.us > 21600000000 OR abs(f.us - t.us) <= 21600000000 THEN r.i + 1 ELSE r.i END, CASE WHEN t.us - f.us > 21600000000 OR abs(f.us - t.us) <= 21600000000 THEN r.j + 1 ELSE r.j END,
+  r.hits + CASE WHEN abs(f.us - t.us) <= 21600000000 THEN 1 ELSE 0 END FROM r JOIN t ON t.user_id = r.user_id AND t.i = r.i JOIN f ON f.user_id = r.user_id AND f.j = r.j),
+h AS (SELECT user_id, max(hits) AS hits FROM r GROUP BY 1) SELECT user_id, CAST(hits AS BIGINT) AS hits, t - hits AS misses, f - hits AS false_alarms FROM n JOIN h USING (user_id)""")
 def event_matching(spark: SparkSession, d: str) -> DataFrame:
     """Clicks against purchases of a user, matched one to one within six hours."""
     df = events(spark, d)
     return matching.event_matches(df.where("event_type = 'purchase'"), df.where("event_type = 'click'"), ["user_id"], "us", 6 * 3_600_000_000)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {EVENTS}, o AS (SELECT user_id, event_id, us / 1000.0 AS ms, value, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM e0),
+r(user_id, event_id, i, ms, value, smooth, speed) AS (SELECT user_id, event_id, i, ms, value, value, CAST(0 AS DOUBLE) FROM o WHERE i = 1 UNION ALL
+ SELECT user_id, event_id, i, ms, value, CASE WHEN dt <= 0 THEN value ELSE last + (value - last) / (1 + 1 / (2 * pi() * (0.00001 + 0.01 * abs(sp)) * dt)) END, CASE WHEN dt <= 0 THEN 0 ELSE sp END FROM (
+  SELECT o.*, r.smooth AS last, (o.ms - r.ms) / 1000 AS dt, CASE WHEN o.ms > r.ms THEN r.speed + ((o.value - r.smooth) / ((o.ms - r.ms) / 1000) - r.speed) / (1 + 1 / (2 * pi() * 1.0 * ((o.ms - r.ms) / 1000))) END AS sp FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))
+SELECT user_id, event_id, ms, value, smooth FROM r""")
 def smoothed_tracks(spark: SparkSession, d: str) -> DataFrame:
     """Values of each user through the speed-dependent low-pass filter."""
     df = events(spark, d).select("user_id", "event_id", (F.col("us") / 1000).alias("ms"), "value")
     return smoothing.one_euro(df, ["user_id"], "ms", "value", least_cutoff=1e-5)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {EVENTS}, c AS (SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS hits, count(*) AS n FROM e0 GROUP BY 1),
+b(user_id, hits, n, low, high, round) AS (SELECT user_id, hits, n, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), 0 FROM c WHERE hits < n UNION ALL
+ SELECT user_id, hits, n, CASE WHEN few > 0.05 THEN mid ELSE low END, CASE WHEN few > 0.05 THEN high ELSE mid END, round + 1 FROM (SELECT *, (low + high) / 2 AS mid, list_sum(list_transform(range(0, hits + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((low + high) / 2) + (n - i) * ln(1 - (low + high) / 2)))) AS few FROM b WHERE round < 45))
+SELECT user_id, hits, n, (low + high) / 2 AS upper FROM b WHERE round = 45 UNION ALL SELECT user_id, hits, n, 1.0 FROM c WHERE hits = n""")
 def error_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Exact 95% upper bound of each user's share of errors."""
     counts = events(spark, d).groupBy("user_id").agg(F.sum((F.col("event_type") == "error").cast("long")).alias("hits"), F.count("*").alias("n"))
