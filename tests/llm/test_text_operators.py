@@ -165,6 +165,59 @@ def test_windows_keep_shares(spark, monkeypatch):
         assert sum(got.values()) == 10_000 and all(abs(got[s] - 10_000 * shares[s]) <= 2 for s in shares)
 
 
+def shares_by_window(spark, docs, pieces):
+    """Tokens of each source in each whole window of the packed stream, and of all documents."""
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    rows = pieces.withColumn("window", F.expr(f"sequence_id div {packing.WINDOW // packing.SEQUENCE}")).groupBy("window", "doc_id").agg(F.sum("length").alias("n")).collect()
+    windows, totals = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for r in rows:
+        windows[r.window][source[r.doc_id]] += r.n
+        totals[source[r.doc_id]] += r.n
+    return [windows[w] for w in sorted(windows) if sum(windows[w].values()) == packing.WINDOW], totals
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_every_window_holds_the_mixture(spark, monkeypatch, block):
+    """All sources' shares, in every window of the query's own table, over blocks and partitions."""
+    monkeypatch.setattr(packing, "BLOCK", block * packing.WINDOW)
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").repartition(7, "doc_id")
+    windows, totals = shares_by_window(spark, docs, packing.packed(docs))
+    whole = sum(totals.values())
+    assert len(windows) == whole // packing.WINDOW > 10
+    for w in windows:
+        assert all(abs(w[s] - packing.WINDOW * n / whole) <= len(totals) for s, n in totals.items())
+
+
+def test_targets_hold_while_sources_last(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 2 * packing.WINDOW)
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 5 == 0, "a").when(F.col("doc_id") % 5 < 3, "b"))
+    windows, totals = shares_by_window(spark, docs, packing.packed(docs, targets={"a": 0.5, "unknown": 0.2}))
+    lasting = int(totals["a"] / 0.5 // packing.WINDOW)
+    assert 2 < lasting < len(windows) - 2
+    rest = totals["b"] + totals[None]
+    for i, w in enumerate(windows):
+        if i != lasting:
+            share = 0.5 if i < lasting else 0.0
+            assert abs(w["a"] - share * packing.WINDOW) <= 3 and abs(w["b"] - (1 - share) * packing.WINDOW * totals["b"] / rest) <= 3
+    with pytest.raises(ValueError):
+        packing.packed(docs, targets={"a": 1.0})
+
+
+def test_places_in_the_mixture():
+    rng = np.random.default_rng(0)
+    for sources, total in ((3, 100), (20, 3 * packing.BLOCK + 5), (20, 40 * packing.BLOCK + 17), (700, 9 * packing.BLOCK + 3)):
+        for targets in (None, {"0": 0.5, "1": 0.2}):
+            n = np.maximum((rng.dirichlet(np.ones(sources) * 0.5) * total).astype(int), 1)
+            queues, mix = packing.mixture({packing.queue_key(str(i)): int(x) for i, x in enumerate(n)}, targets)
+            blocks = np.arange(mix.blocks + 1)
+            given = mix.given(blocks)
+            assert (np.diff(given, axis=0) >= 0).all() and (given.sum(1) == np.minimum(blocks * packing.BLOCK, mix.total)).all() and (given[-1] == mix.n).all()
+            queue = rng.integers(0, len(queues), 500)
+            place = (rng.random(500) * mix.n[queue]).astype(int)
+            block = mix.block_of(queue, place)
+            assert ((given[block, queue] <= place) & (place < given[block + 1, queue])).all()
+
+
 def test_shards_hold_their_law(spark, texts):
     got = queries.op5_hilbert_shards(spark, SMALL).collect()
     of = defaultdict(list)
