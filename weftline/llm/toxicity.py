@@ -1,22 +1,24 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: one of ordinary text, and one that holds toxic text ahead of
-the same ordinary text. A window of words that compresses shorter with the second says
-something only toxic documents say. Statistics of a document's window gains go through
-boosted trees that calibrate them to a probability.
-
-The toxic text is chosen on a bounded, labelled sample (``max_rows``): words and pairs of
-words that mark toxic documents by likelihood ratio, strongest last; an ordinary document
-that quotes one, or is mislabelled, only weakens it. It isn't trained by zstandard, which
-picks what is frequent and so mostly what ordinary text has too. It lies furthest from the
-window, so what both dictionaries hold costs the same in both. To
-calibrate, each half of the sample is judged by dictionaries of the other half, which
-haven't seen it; the dictionaries that score are of the whole sample.
+Two dictionaries, both trained by zstandard: one on windows of ordinary text, and one on what
+toxic rows say that ordinary rows don't. The second lies ahead of a copy of the first, furthest
+from the window, so that what both hold costs the same. A window of words that compresses
+shorter with it says something only toxic documents say. Statistics of a document's window
+gains go through boosted trees that calibrate them to a probability.
+
+Training picks what is frequent, which in toxic rows is mostly what ordinary rows have too. So
+the toxic rows are trained on in extracts: the runs of words and pairs of words that mark toxic
+documents by likelihood ratio; an ordinary document that quotes one, or is mislabelled, only
+weakens it. All is learned from a bounded, labelled sample (``max_rows`` rows, and of an
+ordinary row ``WINDOWS_EACH`` windows spread over all of it). To calibrate, each half of the
+sample is judged by dictionaries of the other half, which haven't seen it; the dictionaries that
+score are of the whole sample. Settings were compared between halves of the training rows.
 
 Null and empty texts have no windows and score as the trees say of no gain. Labels that
 are null, or without a document, are left out; of several for an id the largest counts.
 Without both labels in the sample all scores are the share of toxic rows, or 0.5 without
-rows. Repeated rows score alike; an empty table gives an empty result.
+rows. Very long texts are whole: every window counts. Repeated rows score alike; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from .common import label_sample, map_batches, remainder_of_id, schema_of, stage
 from .quality_gbt import fit_forest
 
 WINDOW, LEVEL = 16, 12
-#: Bytes of ordinary text and of toxic text in the dictionaries; windows taken from each sampled ordinary document.
+#: Bytes of the trained dictionaries; windows taken from each sampled ordinary document.
 ORDINARY, TOXIC, WINDOWS_EACH = 250_000, 8_000, 12
 #: The share of toxic rows with a toxic word or pair is this many times the share of ordinary ones, at least.
 RATIO = 5
@@ -84,22 +86,45 @@ def distance(ordinary: bytes, toxic: bytes) -> Distance:
     return _distances[ordinary, toxic]
 
 
-def toxic_text(rows: DataFrame) -> bytes:
-    """Words, then pairs of neighbouring words without such a word, that mark the toxic rows by likelihood ratio; the strongest last."""
+def toxic_units(rows: DataFrame) -> list[bytes]:
+    """Words, then pairs of neighbouring words without such a word, that mark the toxic rows by likelihood ratio, the strongest of each first."""
     totals = rows.agg(F.count(F.when(F.col("_label") > 0, 1)).alias("toxic"), F.count("*").alias("n")).first()
     toxic, n = totals["toxic"], totals["n"]
     if not 0 < toxic < n:
-        return b""
+        return []
     words = marks(rows, 1, frozenset(), toxic, n)
-    pairs = marks(rows, 2, frozenset(words), toxic, n)
-    out: list[bytes] = []
-    room = TOXIC
-    for w in words + pairs:
-        room -= len(w) + 1
-        if room < 0:
-            break
-        out.append(w)
-    return b" ".join(reversed(out))
+    return words + marks(rows, 2, frozenset(words), toxic, n)
+
+
+def toxic_text(rows: DataFrame) -> bytes:
+    """The units as one text, the strongest words last."""
+    return b" ".join(reversed(toxic_units(rows)))
+
+
+def extract(words: list[bytes], units: frozenset[bytes]) -> bytes:
+    """The runs of a text's words that are units or lie in a pair that is one."""
+    keep = [w in units for w in words]
+    for i in range(len(words) - 1):
+        if b" ".join(words[i : i + 2]) in units:
+            keep[i] = keep[i + 1] = True
+    return b"".join(w + b" " for w, k in zip(words, keep, strict=True) if k)
+
+
+def toxic_dictionary(rows: DataFrame) -> bytes:
+    """A dictionary that zstandard trains on extracts of the toxic rows; empty where no unit marks them."""
+    units = toxic_units(rows)
+    known = frozenset(units)
+    if not units:
+        return b""
+
+    def each(batch: pa.RecordBatch) -> dict:
+        return {"x": [x for t in batch.column("text") if (x := extract(words_of(t.as_py()), known))]}
+
+    found = sorted(bytes(r["x"]) for r in map_batches(rows.where("_label > 0").select("text"), each, "x binary").collect())
+    try:
+        return zstandard.train_dictionary(TOXIC, found, k=16, d=8).as_bytes()
+    except zstandard.ZstdError:  # too little to train on: the units are the dictionary themselves
+        return b" ".join(reversed(units))
 
 
 def around(words: list[bytes], width: int, known: frozenset[bytes], wanted: frozenset[bytes] | None) -> dict[bytes, tuple[int, int]]:
@@ -170,7 +195,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = staged(rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))), "toxicity-sample")
     halves = [rows.where("half = 0"), rows.where("half = 1")]
-    learned = lambda r: (ordinary_text(r), toxic_text(r))
+    learned = lambda r: (ordinary_text(r), toxic_dictionary(r))
 
     def gains(batch: pa.RecordBatch, held: tuple[bytes, bytes]) -> np.ndarray:
         d = distance(*held)
