@@ -48,15 +48,19 @@ def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(r), c) for c, r in enumerate(holder) if r >= 0)
 
 
-def assigned(pairs: DataFrame, group: Keys, left: str, right: str, cost: str) -> DataFrame:
-    """Of candidate pairs, those of the cheapest matching that has as many pairs as can be, for each group. A group is one moment's or cluster's pairs, a few hundred at most."""
+def assigned(pairs: DataFrame, group: Keys, left: str, right: str, cost: str, *, optional: bool = False) -> DataFrame:
+    """Of candidate pairs, those of the cheapest matching that has as many pairs as can be, for each group. ``optional``: of the cheapest matching of any size, where a negative cost is a gain.
+
+    A group is what must be decided at once, such as the boxes of one frame or the tracks of one recording.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = (np.unique(rows[c], return_inverse=True)[1] for c in (left, right))
-        whole = np.full((a.max() + 1, b.max() + 1), NEVER)
+        none = 0.0 if optional else NEVER
+        whole = np.full((a.max() + 1, b.max() + 1), none)
         np.minimum.at(whole, (a, b), rows[cost].to_numpy(dtype=float))
-        chosen = {(r, c) for r, c in least_cost(whole) if whole[r, c] < NEVER}
+        chosen = {(r, c) for r, c in least_cost(whole) if whole[r, c] < none}
         hit = [(r, c) in chosen for r, c in zip(a, b, strict=True)]
         return rows[hit].drop_duplicates([left, right])
 
