@@ -56,3 +56,13 @@ def pseudonym(kind: str, value: Column, key: bytes | None) -> Column:
     if key is None:
         return value.cast("string")
     return F.when(value.isNotNull(), F.concat(F.lit(f"{kind}-"), F.substring(hmac(key, F.concat(F.lit(f"{kind}:"), value.cast("string"))), 1, 16)))
+
+
+def canonical_digest(*fields: Column, length: int = 64) -> Column:
+    """Digest of named fields whatever their order: JSON of the struct with its names sorted; nulls are left out."""
+    return short_digest(F.to_json(F.sort_array(F.array(*(F.to_json(F.struct(f)) for f in fields)))), length)
+
+
+def run_id(version: Column, session: Column, digest: Column, started: Column) -> Column:
+    """``run-`` and 16 hex digits of all four."""
+    return F.concat(F.lit("run-"), short_digest(F.concat_ws("|", version, session.cast("string"), digest, started.cast("string")), 16))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import history_queries, label_queries, report_queries, sequence_queries, shop_queries
+from .plans import history_queries, label_queries, pick_queries, report_queries, sequence_queries, shop_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = history_queries.QUERIES | label_queries.QUERIES | report_queries.QUERIES | sequence_queries.QUERIES | shop_queries.QUERIES
-ORACLES: dict[str, str] = history_queries.ORACLES | label_queries.ORACLES | report_queries.ORACLES | sequence_queries.ORACLES | shop_queries.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = history_queries.QUERIES | label_queries.QUERIES | pick_queries.QUERIES | report_queries.QUERIES | sequence_queries.QUERIES | shop_queries.QUERIES
+ORACLES: dict[str, str] = history_queries.ORACLES | label_queries.ORACLES | pick_queries.ORACLES | report_queries.ORACLES | sequence_queries.ORACLES | shop_queries.ORACLES
