@@ -136,6 +136,51 @@ def test_expectation_maximisation_finds_accuracies():
     assert (verdict == truth).mean() > 0.9
 
 
+def test_verdicts_are_a_plain_expectation_maximisation(spark):
+    """One document at a time, with three-valued votes by class."""
+    from weftline.llm.textstats import with_stats
+
+    voted = quality_rules.votes_of(with_stats(spark.read.parquet(f"{SMALL}/documents.parquet"))).collect()
+    names = list(quality_rules.rules())
+    votes = {r.doc_id: [r[f"vote_{n}"] for n in names] for r in voted}
+    good = {i: 0.15 if -1 in v else 0.85 for i, v in votes.items()}
+    for _ in range(300):
+        odds = []
+        for k in range(len(names)):
+            of = {}
+            for value in (-1, 0, 1):
+                hit = [i for i, v in votes.items() if v[k] == value]
+                sure = (sum(good[i] for i in hit) + 0.5) / (sum(good.values()) + 1.5)
+                bad = (sum(1 - good[i] for i in hit) + 0.5) / (sum(1 - g for g in good.values()) + 1.5)
+                of[value] = math.log(sure / bad)
+            odds.append({-1: min(of[-1], 0), 0: of[0], 1: max(of[1], 0)})
+        share = min(max(sum(good.values()) / len(good), 0.05), 0.99)
+        after = {i: 1 / (1 + math.exp(-math.log(share / (1 - share)) - sum(o[x] for o, x in zip(odds, v, strict=True)))) for i, v in votes.items()}
+        moved, good = max(abs(after[i] - good[i]) for i in good), after
+        if moved < 1e-10:
+            break
+    for r in quality_rules.quality_rules(spark.read.parquet(f"{SMALL}/documents.parquet")).collect():
+        assert r.p_good == pytest.approx(good[r.doc_id], abs=1e-6) and r.kept == (not r.base_failed and good[r.doc_id] >= 0.5)
+
+
+def test_scores_are_a_walk_of_each_tree(spark):
+    from weftline.llm.textstats import with_stats
+
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    stats = with_stats(docs)
+    held = quality_gbt.remainder_of_id("doc_id", 5) == 0
+    forest = quality_gbt.trained(stats, labels, "quality", held, 20_000)
+    got = {r.doc_id: r.score for r in quality_gbt.quality_scores(docs, labels).collect()}
+    for r in stats.collect():
+        x = quality_gbt.features(np.array([[r[c] for c in quality_gbt.INPUTS]]))[0]
+        total = forest.start
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.left[node] + int(x[forest.column[node]] > forest.cut[node])
+            total += forest.value[node]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
 def test_neighbour_recall(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{MIDDLE}/embeddings.parquet").collect()]
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)

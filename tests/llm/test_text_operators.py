@@ -231,6 +231,17 @@ def test_shards_hold_their_law(spark, texts):
     assert places == sorted(places)
 
 
+def test_every_row_has_its_place_on_the_curve(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = queries.op5_hilbert_shards(spark, SMALL).collect()
+    for r in got:
+        d, size = docs[r.doc_id], len((docs[r.doc_id].text or "").encode()) + 16
+        cell = (zlib.crc32((d.source or "").encode()) % 16, zlib.crc32((d.lang or "").encode()) % 16, min(size.bit_length() - 1 - 4, 15))
+        assert r.curve == hilbert.curve_index(cell, 4)
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.shard for r in order] == [i * 40 // len(got) for i in range(len(got))]
+
+
 def test_curve_steps_are_neighbours():
     for dims, bits in ((2, 3), (3, 2), (3, 4)):
         side = 1 << bits

@@ -91,6 +91,9 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict | None], sc
             for b in slices(whole):
                 if (out := each(b)) is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=True) for f in arrow], schema=arrow)
+            # A batch goes before the next one comes.
+            whole = b = out = None
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -7,8 +7,10 @@ region of all three and a filter on any of them prunes shards. Shard sizes follo
 
 The global place of a row is the number of rows in earlier cells, plus those in earlier
 sub-cells of its cell, plus its place in its own sub-cell. A cell may hold a third of all
-rows: sub-cells, 1,024 to a cell by a hash of the row, keep any one task small. Only
-counts of cells meet in one task, 4,096 at most.
+rows: sub-cells by a hash of the row, as many as keep a task at ``SUBCELL_ROWS`` rows even
+then, share it out. Only counts of cells meet in one task, 4,096 at most, and those of a cell's
+sub-cells. Inside a shard rows are in order of the curve, and within a cell of hashes: a reader
+prunes shards by the ranges of :func:`manifest`, not rows of one cell.
 
 Null texts have no bytes. Null langs and sources count as empty strings. Rows that repeat
 are told apart by their place. An empty table gives an empty result; other columns are ignored.
@@ -22,7 +24,9 @@ from pyspark.sql import window as W
 
 from .common import staged
 
-BITS, DIMS, SUBCELLS = 4, 3, 1024
+BITS, DIMS = 4, 3
+#: Rows of a sub-cell, if one cell held all of them.
+SUBCELL_ROWS = 50_000
 
 
 def curve_index(cell: tuple[int, ...], bits: int) -> int:
@@ -82,7 +86,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     for k in levels:
         number = number * (1 << BITS) + F.col(k)
     rows = rows.withColumn("cell", number.cast("int")).join(F.broadcast(_curve(docs)), "cell").drop("cell")
-    rows = staged(rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SUBCELLS)).cast("int")), "hilbert-rows")
+    rows = staged(rows, "hilbert-rows")
+    subcells = max(64, -(-rows.count() // SUBCELL_ROWS))
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(subcells)).cast("int"))
 
     counts = rows.groupBy("curve", "sub").agg(F.count("*").alias("n"))
     cells = counts.groupBy("curve").agg(F.sum("n").alias("n"))

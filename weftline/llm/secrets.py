@@ -7,8 +7,9 @@ with the regular expression. Rules without mandatory trigrams scan all documents
 
 Positions are code points, ends exclusive. Matches of a kind are leftmost and don't
 overlap; those whose measured group is too short are dropped after matching. Null texts
-count as empty. Null and repeated ids share postings, which only adds candidates; each row is
-verified by itself. An empty table gives an empty result; other columns are ignored.
+count as empty. Repeated ids share postings, which only adds candidates, and rows without an id
+are all candidates; each row is verified by itself. Very long texts are searched whole. An empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,8 +143,11 @@ def _tagged(place: int, kind: str):
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs``, which has no columns named ``_id`` or ``_rules``, with ``secret_spans``: structs of start, place of the kind in ``rules``, kind and end, in that order."""
     must = [bool(trigram_query(r.pattern)) for r in rules]
-    found = candidates(docs, rules).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left").drop("_id")
+    named = docs.where("doc_id is not null")
+    found = candidates(named, rules).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
+    # Rows without an id can't be looked up: they are verified for every rule, where they lie.
+    rest = docs.where("doc_id is null").withColumn("_rules", F.lit((1 << len(rules)) - 1).cast("int"))
+    rows = named.join(found, named["doc_id"] == found["_id"], "left").drop("_id").unionByName(rest)
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = []
     nothing = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
