@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import labels, segments, tracking
+from ..operators import labels, segments, tracker, tracking
 from .history_queries import EVENTS, HOUR, events
 
 QUERIES, ORACLES = {}, {}
@@ -289,3 +289,16 @@ def tracking_clear(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def detection_precision(spark: SparkSession, d: str) -> DataFrame:
     return tracking.detection_precision(*boxes(spark, d))
+
+
+@query(None)
+def linked_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Finds of each user linked to tracks, day by day."""
+    found = boxes(spark, d)[1]
+    return tracker.tracks(found.withColumn("frame", F.col("frame") * 1000), 0.3, 3000)
+
+
+@query(None)
+def merged_detections(spark: SparkSession, d: str) -> DataFrame:
+    """Finds of one day that share a third of their area, as one."""
+    return tracker.fused(boxes(spark, d)[1], 0.33)
