@@ -38,6 +38,8 @@ from .common import importable, map_batches, slices, staged
 
 SEQUENCE, WINDOW = 1024, 32 * 1024
 BLOCK, MOST_QUEUES = 64 * WINDOW, 1000
+#: Rows, of some 50 bytes, that are broadcast.
+MOST_STARTS = 100_000
 #: The end token, id 0, as 32 bits.
 END = bytes(4)
 
@@ -55,7 +57,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, past = bpe(vocabulary), TaskContext.get().partitionId(), Counter()
         for b in (piece for whole in batches for piece in slices(whole)):
-            ids = [np.frombuffer(coder.encode(t.as_py()) + END, dtype="<u4") for t in b.column("text")]
+            ids = [np.frombuffer(x + END, dtype="<u4") for x in coder.encode_all(b.column("text").to_pylist())]
             sources, places = [queue_key(s) for s in b.column("source").to_pylist()], []
             for s, x in zip(sources, ids, strict=True):
                 places.append(past[s])
@@ -243,7 +245,8 @@ def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", targets: Mapp
     in_queue = W.Window.partitionBy("queue").orderBy("part", "source").rowsBetween(W.Window.unboundedPreceding, -1)
     starts = counts.join(F.broadcast(numbers), "source", "left").fillna({"queue": queues.get("", -1)})
     starts = starts.select("source", "part", "queue", F.coalesce(F.sum("n").over(in_queue), F.lit(0)).alias("past"))
-    # One row for each task and source: Spark broadcasts it where it is small.
+    # One row for each task and source: few enough, they go to the documents, else both meet by a shuffle.
+    starts = F.broadcast(starts) if counts.count() <= MOST_STARTS else starts
     placed = rows.join(starts, ["source", "part"]).select("doc_id", "queue", (F.col("past") + F.col("at")).alias("place"), "n", "ids")
     pieces = map_batches(placed, _cut(mix), "block long, queue int, place long, doc_id long, start long, n long, doc_tokens long, ids binary")
     return pieces.groupBy("block").applyInArrow(_packing(mix), PIECES)
