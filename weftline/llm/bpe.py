@@ -1,9 +1,11 @@
 """Byte-level BPE, encoding and decoding as the tokenizers library does.
 
 A short word's parts and the ranks of adjacent parts are two contiguous arrays: scan for
-the least rank, delete that boundary, refresh the two ranks beside it. Long words, where
-repeated scans would cost the square of the length, take the same merges from a heap.
-Words recur, so each Python worker remembers the ids of those it has met, within a bound.
+the least rank, delete that boundary, refresh the two ranks beside it. The words that a
+slice of texts has anew are rows of two tables, and all take a step at once. Long words, where
+repeated scans would cost the square of the length, take the same merges from a heap: both
+ways give the library's ids. Words recur, so each Python worker remembers the ids of those it
+has met, within a bound.
 
 Null texts count as empty and have no tokens; their decoded text is empty. Special tokens
 in a text get their own ids, as in the library. Rows are independent: repeated rows and
@@ -17,6 +19,7 @@ import heapq
 import json
 import re
 import struct
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -61,36 +64,72 @@ class Bpe(dict):
         for k, (a, b) in enumerate(pairs):
             self.rank.setdefault(vocab[a] << 32 | vocab[b], k)
             self.merged.append(vocab[a + b])
+        self.first_ids, self.merged_ids = np.array(self.first, dtype=np.int64), np.array(self.merged, dtype=np.int64)
+        self.pairs = np.array(sorted(self.rank), dtype=np.int64)
+        self.pair_ranks = np.array([self.rank[int(k)] for k in self.pairs], dtype=np.int64)
         self.special = {t: np.uint32(i).tobytes() for t, i in special.items()}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.split, self.split_ascii = regex.compile(SPLIT), re.compile(SPLIT_ASCII)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MOST_WORDS:
-            self.older = dict(self)
-            self.clear()
-        if (out := self.older.get(word)) is not None:
-            self[word] = out
-            return out
-        data = word.encode("utf-8")
-        ids = (self._long if len(data) >= LONG_WORD else self._short)([self.first[b] for b in data])
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(data) < LONG_WORD:
-            self[word] = out
-        return out
-
-    def _short(self, ids: list[int]) -> list[int]:
-        get, merged = self.rank.get, self.merged
-        ranks = [get(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
-        while ranks and (least := min(ranks)) != NEVER:
-            i = ranks.index(least)
-            ids[i : i + 2] = [merged[least]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], NEVER)
-            if i < len(ranks):
-                ranks[i] = get(ids[i] << 32 | ids[i + 1], NEVER)
-        return ids
+        if word in self.special:
+            return self.special[word]
+        self.learn([word])
+        return self[word]
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that aren't remembered, all of about one length together."""
+        data = [w.encode("utf-8") for w in words]
+        order = sorted(range(len(data)), key=lambda i: len(data[i]))
+        at = 0
+        while at < len(order):
+            width = len(data[order[at]])
+            if width >= LONG_WORD:
+                for i in order[at:]:
+                    ids = self._long([self.first[b] for b in data[i]])
+                    self[words[i]] = struct.pack(f"<{len(ids)}I", *ids)
+                return
+            # Lengths within a quarter of each other share a table; none grows beyond some megabytes.
+            most, stop = width + max(2, width // 4), at + 1
+            while stop < len(order) and len(data[order[stop]]) <= most and (stop - at) * most < 1_000_000:
+                stop += 1
+            group = order[at:stop]
+            for i, ids in zip(group, self._short([data[i] for i in group]), strict=True):
+                self[words[i]] = ids
+            at = stop
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair, NEVER where there is none; -1 stands for no part."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], NEVER)
+
+    def _short(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, none empty: for each a row of parts, closed by -1, and a row of the ranks of neighbouring parts."""
+        sizes = np.array([len(w) for w in words])
+        row, place = np.repeat(np.arange(len(words)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids = np.full((len(words), int(sizes.max()) + 1), -1, dtype=np.int64)
+        ids[row, place] = self.first_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        out, mine = np.full_like(ids, -1), np.arange(len(words))
+        while len(mine):
+            least = ranks.argmin(1)
+            found = ranks[np.arange(len(ranks)), least]
+            if (done := found == NEVER).any():
+                out[mine[done], : ids.shape[1]] = ids[done]
+                mine, ids, ranks, least, found = mine[~done], ids[~done], ranks[~done], least[~done], found[~done]
+            # The boundary at the least rank goes, and with it a part and a rank; the ranks beside it are looked up anew.
+            rows, cut, column = np.arange(len(mine)), least[:, None], np.arange(ids.shape[1] - 1)
+            ids[rows, least] = self.merged_ids[found]
+            ids = np.where(column > cut, ids[:, 1:], ids[:, :-1])
+            ranks = np.where(column[:-1] >= cut, ranks[:, 1:], ranks[:, :-1])
+            own = ids[rows, least]
+            ranks[rows, least] = self._ranks(own, ids[rows, least + 1])
+            inner = least > 0
+            ranks[rows[inner], least[inner] - 1] = self._ranks(ids[rows[inner], least[inner] - 1], own[inner])
+        lengths = (out >= 0).sum(1)
+        flat, ends = out[out >= 0].astype("<u4").tobytes(), np.cumsum(lengths) * 4
+        return [flat[e - 4 * n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
 
     def _long(self, ids: list[int]) -> list[int]:
         get, merged, n = self.rank.get, self.merged, len(ids)
@@ -119,14 +158,30 @@ class Bpe(dict):
     def words(self, text: str) -> list[str]:
         return (self.split_ascii if text.isascii() else self.split).findall(text)
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text, as bytes of little-endian 32-bit integers."""
+    def pieces(self, text: str | None) -> list[str]:
+        """Words of a text, and special tokens."""
         if not text:
-            return b""
-        get = self.__getitem__
+            return []
         if not self.at_special or not any(map(text.__contains__, self.special)):
-            return b"".join(map(get, self.words(text)))
-        return b"".join(self.special[x] if x in self.special else b"".join(map(get, self.words(x))) for x in self.at_special.split(text) if x)
+            return self.words(text)
+        return [w for x in self.at_special.split(text) if x for w in ([x] if x in self.special else self.words(x))]
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of each text, as bytes of little-endian 32-bit integers; words that are new to all of them are encoded together."""
+        split = [self.pieces(t) for t in texts]
+        if len(self) >= MOST_WORDS:
+            self.older = dict(self)
+            self.clear()
+        new = {w for words in split for w in words if w not in self}
+        for w in new.intersection(self.older):
+            self[w] = self.older[w]
+        if new := sorted(new.difference(self.older, self.special)):
+            self.learn(new)
+        get = self.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.texts.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
@@ -149,7 +204,7 @@ def round_trips(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataF
 
     def each(batch: pa.RecordBatch) -> dict:
         coder = bpe(vocabulary)
-        ids = [coder.encode(t.as_py()) for t in batch.column("text")]
+        ids = coder.encode_all(batch.column("text").to_pylist())
         return {
             "doc_id": batch.column("doc_id"),
             "n_tokens": [len(x) // 4 for x in ids],
