@@ -38,7 +38,7 @@ from .quality_gbt import fit_forest
 
 WINDOW, LEVEL = 16, 12
 #: Bytes of the trained dictionaries; windows taken from each sampled ordinary document.
-ORDINARY, TOXIC, WINDOWS_EACH = 250_000, 8_000, 12
+ORDINARY, TOXIC, WINDOWS_EACH = 250_000, 2_000, 12
 #: The share of toxic rows with a toxic word or pair is this many times the share of ordinary ones, at least.
 RATIO = 5
 GAINS = "top1 double, top2 double, top3 double, top_mean double, share double, over2 double, over4 double, over6 double, mean double, length double"
@@ -111,7 +111,10 @@ def extract(words: list[bytes], units: frozenset[bytes]) -> bytes:
 
 
 def toxic_dictionary(rows: DataFrame) -> bytes:
-    """A dictionary that zstandard trains on extracts of the toxic rows; empty where no unit marks them."""
+    """A dictionary that zstandard trains on extracts of the toxic rows, after the units that training left out, the strongest last; empty where no unit marks them.
+
+    Training takes whole stretches of its samples, by how often they recur, so that it cuts or misses rare words.
+    """
     units = toxic_units(rows)
     known = frozenset(units)
     if not units:
@@ -122,9 +125,11 @@ def toxic_dictionary(rows: DataFrame) -> bytes:
 
     found = sorted(bytes(r["x"]) for r in map_batches(rows.where("_label > 0").select("text"), each, "x binary").collect())
     try:
-        return zstandard.train_dictionary(TOXIC, found, k=16, d=8).as_bytes()
+        trained = zstandard.train_dictionary(TOXIC, found, k=16, d=8).as_bytes()
     except zstandard.ZstdError:  # too little to train on: the units are the dictionary themselves
         return b" ".join(reversed(units))
+    left_out = [u for u in reversed(units) if u not in trained]
+    return b" ".join([*left_out, trained])
 
 
 def around(words: list[bytes], width: int, known: frozenset[bytes], wanted: frozenset[bytes] | None) -> dict[bytes, tuple[int, int]]:
