@@ -285,11 +285,11 @@ def poses_between(spark: SparkSession, d: str) -> DataFrame:
     return poses.pose_at(asked, given, ["user_id"], "t", "event_id", "event_id", 4.0 * DAY).select("user_id", "event_id", F.round(F.element_at("q", 1), 6).alias("w"), F.round(F.element_at("p", 1), 6).alias("x"))
 
 
-@query("""SELECT l_suppkey, sqrt(avg(pow(l_discount * 100 - l_tax * 100, 2) + pow(l_linenumber, 2))) AS rmse, count(*) AS n FROM lineitem GROUP BY 1""")
+@query("""SELECT l_suppkey, round(sqrt(avg(pow(l_discount * 100 - l_tax * 100, 2) + pow(l_linenumber, 2))), 6) AS rmse, count(*) AS n FROM lineitem GROUP BY 1""")
 def trajectory_errors(spark: SparkSession, d: str) -> DataFrame:
     """Root mean square distance of two places by supplier."""
     rows = table(spark, d, "lineitem").select("l_suppkey", F.array(F.col("l_discount") * 100, F.col("l_linenumber").cast("double"), F.lit(0.0)).alias("a"), F.array(F.col("l_tax") * 100, F.lit(0.0), F.lit(0.0)).alias("b"))
-    return poses.trajectory_error(rows, ["l_suppkey"], "a", "b")
+    return poses.trajectory_error(rows, ["l_suppkey"], "a", "b").withColumn("rmse", F.round("rmse", 6))
 
 
 @query("""SELECT p_partkey % 5 AS k, CAST(2 AS DOUBLE) AS scale, round(cos(0.25), 6) AS w, CAST(3 AS DOUBLE) AS x, count(*) AS n FROM part GROUP BY 1""")

@@ -117,18 +117,18 @@ def event_matching(spark: SparkSession, d: str) -> DataFrame:
 r(user_id, event_id, i, ms, value, smooth, speed) AS (SELECT user_id, event_id, i, ms, value, value, CAST(0 AS DOUBLE) FROM o WHERE i = 1 UNION ALL
  SELECT user_id, event_id, i, ms, value, CASE WHEN dt <= 0 THEN value ELSE last + (value - last) / (1 + 1 / (2 * pi() * (0.00001 + 0.01 * abs(sp)) * dt)) END, CASE WHEN dt <= 0 THEN 0 ELSE sp END FROM (
   SELECT o.*, r.smooth AS last, (o.ms - r.ms) / 1000 AS dt, CASE WHEN o.ms > r.ms THEN r.speed + ((o.value - r.smooth) / ((o.ms - r.ms) / 1000) - r.speed) / (1 + 1 / (2 * pi() * 1.0 * ((o.ms - r.ms) / 1000))) END AS sp FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))
-SELECT user_id, event_id, ms, value, smooth FROM r""")
+SELECT user_id, event_id, value, round(smooth, 6) AS smooth FROM r""")
 def smoothed_tracks(spark: SparkSession, d: str) -> DataFrame:
     """Values of each user through the speed-dependent low-pass filter."""
     df = events(spark, d).select("user_id", "event_id", (F.col("us") / 1000).alias("ms"), "value")
-    return smoothing.one_euro(df, ["user_id"], "ms", "value", least_cutoff=1e-5)
+    return smoothing.one_euro(df, ["user_id"], "ms", "value", least_cutoff=1e-5).select("user_id", "event_id", "value", F.round("smooth", 6).alias("smooth"))
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, c AS (SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS hits, count(*) AS n FROM e0 GROUP BY 1),
 b(user_id, hits, n, low, high, round) AS (SELECT user_id, hits, n, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), 0 FROM c WHERE hits < n UNION ALL
  SELECT user_id, hits, n, CASE WHEN few > 0.05 THEN mid ELSE low END, CASE WHEN few > 0.05 THEN high ELSE mid END, round + 1 FROM (SELECT *, (low + high) / 2 AS mid, list_sum(list_transform(range(0, hits + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((low + high) / 2) + (n - i) * ln(1 - (low + high) / 2)))) AS few FROM b WHERE round < 45))
-SELECT user_id, hits, n, (low + high) / 2 AS upper FROM b WHERE round = 45 UNION ALL SELECT user_id, hits, n, 1.0 FROM c WHERE hits = n""")
+SELECT user_id, hits, n, round((low + high) / 2, 9) AS upper FROM b WHERE round = 45 UNION ALL SELECT user_id, hits, n, 1.0 FROM c WHERE hits = n""")
 def error_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Exact 95% upper bound of each user's share of errors."""
     counts = events(spark, d).groupBy("user_id").agg(F.sum((F.col("event_type") == "error").cast("long")).alias("hits"), F.count("*").alias("n"))
-    return counts.withColumn("upper", bounds.exact_upper(F.col("hits"), F.col("n")))
+    return counts.withColumn("upper", F.round(bounds.exact_upper(F.col("hits"), F.col("n")), 9))

@@ -87,18 +87,18 @@ def machine_load(spark: SparkSession, d: str) -> DataFrame:
     return kpis.load(table(spark, d, "part"), "p_type", F.col("p_retailprice"), 0.001, 8, 0.1).withColumn("seconds", F.round("seconds", 4))
 
 
-@query(f"""WITH {EVENTS} SELECT user_id, quantile_cont(value, 0.5) FILTER (event_type <> 'error') AS p50, quantile_cont(value, 0.95) FILTER (event_type <> 'error') AS p95, count(*) FILTER (event_type <> 'error') / 60.0 AS per_second, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS error_share, avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END) AS cache_share FROM e0 GROUP BY 1""")
+@query(f"""WITH {EVENTS} SELECT user_id, round(quantile_cont(value, 0.5) FILTER (event_type <> 'error'), 6) AS p50, round(quantile_cont(value, 0.95) FILTER (event_type <> 'error'), 6) AS p95, count(*) FILTER (event_type <> 'error') / 60.0 AS per_second, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS error_share, avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END) AS cache_share FROM e0 GROUP BY 1""")
 def call_latencies(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).select("user_id", F.col("value").alias("latency"), (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "view").alias("cached"))
-    return kpis.latencies(rows, ["user_id"], F.lit(60.0))
+    return kpis.latencies(rows, ["user_id"], F.lit(60.0)).withColumn("p50", F.round("p50", 6)).withColumn("p95", F.round("p95", 6))
 
 
-@query(f"""WITH {EVENTS}, t AS (SELECT event_type, us // 1000 AS s, us // 1000 + (event_id % 9) * 1000 AS e, event_id % 5 AS k FROM e0) SELECT event_type, count(*) AS tracks, count(*) / 600.0 AS per_minute, quantile_cont(CAST(e - s AS DOUBLE), 0.5) AS median_ms, quantile_cont(CAST(e - s AS DOUBLE), 0.9) AS p90_ms, quantile_cont(CAST(k AS DOUBLE), 0.5) AS median_keyframes, avg(CASE WHEN e - s < 2000 THEN 1.0 ELSE 0.0 END) AS short_share FROM t GROUP BY 1""")
+@query(f"""WITH {EVENTS}, t AS (SELECT event_type, us // 1000 AS s, us // 1000 + (event_id % 9) * 1000 AS e, event_id % 5 AS k FROM e0) SELECT event_type, count(*) AS tracks, count(*) / 600.0 AS per_minute, quantile_cont(CAST(e - s AS DOUBLE), 0.5) AS median_ms, round(quantile_cont(CAST(e - s AS DOUBLE), 0.9), 3) AS p90_ms, quantile_cont(CAST(k AS DOUBLE), 0.5) AS median_keyframes, avg(CASE WHEN e - s < 2000 THEN 1.0 ELSE 0.0 END) AS short_share FROM t GROUP BY 1""")
 def track_figures(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of tracks by kind."""
     start = F.floor(F.col("us") / 1000)
     rows = events(spark, d).select("event_type", start.alias("t_start_ms"), (start + F.col("event_id") % 9 * 1000).alias("t_end_ms"), (F.col("event_id") % 5).alias("keyframes"))
-    return kpis.track_figures(rows, ["event_type"], F.lit(600.0), 2000)
+    return kpis.track_figures(rows, ["event_type"], F.lit(600.0), 2000).withColumn("p90_ms", F.round("p90_ms", 3))
 
 
 @query(f"""WITH {EVENTS}, f AS (SELECT user_id, us // {HOUR} AS h, count(*) AS n FROM e0 GROUP BY 1, 2), g AS (SELECT *, CASE WHEN h - lag(h) OVER (PARTITION BY user_id ORDER BY h) <= 12 THEN 0 ELSE 1 END AS fresh FROM f)
@@ -108,9 +108,9 @@ def presence_figures(spark: SparkSession, d: str) -> DataFrame:
     return kpis.presence_figures(events(spark, d).withColumn("h", F.floor(F.col("us") / HOUR)), ["user_id"], "h", 12, F.lit(600.0))
 
 
-@query("""SELECT o_orderpriority, count(*) AS tasks, avg(CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 3) / (o_orderkey % 5) END) AS coverage FROM orders GROUP BY 1""")
+@query("""SELECT o_orderpriority, count(*) AS tasks, round(avg(CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 3) / (o_orderkey % 5) END), 9) AS coverage FROM orders GROUP BY 1""")
 def exposures(spark: SparkSession, d: str) -> DataFrame:
-    return kpis.exposure(table(spark, d, "orders").withColumn("shown", F.col("o_orderkey") % 3).withColumn("units", F.col("o_orderkey") % 5), ["o_orderpriority"])
+    return kpis.exposure(table(spark, d, "orders").withColumn("shown", F.col("o_orderkey") % 3).withColumn("units", F.col("o_orderkey") % 5), ["o_orderpriority"]).withColumn("coverage", F.round("coverage", 9))
 
 
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1 HAVING count(*) < (SELECT count(*) FROM part) / 25")
