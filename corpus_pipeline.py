@@ -1,7 +1,13 @@
 """From raw documents to packed training sequences: rules, classifier, near-dedup, secrets, packing.
 
 Each stage works on all that the one before kept, and all but the last return the columns
-of documents. SQL can't express the fitted stages; tests compare each with brute force.
+of documents, extra ones included, whatever their names. SQL can't express the fitted
+stages; tests compare each with brute force.
+
+Null and empty texts have no words and go with the first stage, as do texts of fewer than
+ten words. Very long texts are read, scored, compared and packed whole. Rows without an id
+are judged like any other and are nobody's near-duplicate; of rows that repeat an id one
+stays. An empty table gives no pieces.
 """
 
 from __future__ import annotations

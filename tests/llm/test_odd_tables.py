@@ -77,3 +77,15 @@ def test_vectors(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest_neighbours(table).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (0, 4, 3), (0, 5, 100), (50, 1, 0), (50, 2, 1), (50, 3, 2), (50, 4, 3), (50, 5, 100), (100, 1, 0), (100, 2, 1), (100, 3, 2), (100, 4, 3), (100, 5, 50)]
     assert neighbours.nearest_neighbours(table.limit(0)).count() == 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, labels, tmp_path):
+    """From stage to stage, over all odd rows and over none, as ``run`` reads them."""
+    import corpus_pipeline as pipeline
+
+    for name, docs in (("odd", odd.where("doc_id is not null or text is not null")), ("none", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        pieces = pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert name == "odd" or not pieces
+        assert {p.doc_id for p in pieces} <= {1, 2, 9, None} and all(0 < p.length <= 1024 for p in pieces)

@@ -14,7 +14,7 @@ words, and only its sums meet. Nothing but totals, counts of counts and those su
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; each text ends with an end token,
 which counts, and starts after a start mark, which doesn't. Words are known by 64-bit
-hashes. Null texts count as empty: one end token. Null ids are never held out. Rows that
+hashes. Very long texts are whole, a block by themselves if need be. Null texts count as empty: one end token. Null ids are never held out. Rows that
 repeat count each time. Without training rows every word is unknown: N and V are 0. An
 empty table gives an empty result; other columns are ignored.
 """

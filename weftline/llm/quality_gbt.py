@@ -7,7 +7,9 @@ whole batch at once.
 
 Null texts count as empty and get a score. Labels that are null, or whose document is
 missing, are left out; a document with several labels takes the largest. Without
-training rows every score is the prior, 0.5. Extra columns of the inputs play no part.
+training rows every score is the prior, 0.5. Very long texts are counted whole; repeated
+rows score alike; an empty table gives an empty result. Extra columns, whatever their
+names, play no part in scores and pass through :func:`accepted` as they are.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ on the counts of all vote patterns estimates how far each rule can be trusted an
 common good documents are; the posterior probability of "good" is the verdict. Only the
 pattern counts reach the driver: at most 3 to the number of rules, whatever the input.
 
-Null texts count as empty. Empty texts have no words and fail the base rules. Repeated
-rows and null ids are scored as any row; an empty table gives an empty result.
+Null texts count as empty. Empty texts have no words and fail the base rules. Very long
+texts are counted whole. Repeated rows and null ids are scored as any row; an empty table
+gives an empty result. Extra columns, whatever their names, pass through :func:`passed`.
 """
 
 from __future__ import annotations
