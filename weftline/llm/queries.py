@@ -100,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_pii": op11_pii,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
