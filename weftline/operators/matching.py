@@ -6,12 +6,12 @@ from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .streamed import streamed
+from .streamed import in_groups, streamed, with_rivals
 
 Keys = Sequence[str]
 #: Cost of a pair that isn't allowed.
@@ -53,19 +53,27 @@ def assigned(pairs: DataFrame, group: Keys, left: str, right: str, cost: str, *,
 
     A group is what must be decided at once, such as the boxes of one frame or the tracks of one recording.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.unique(rows[c], return_inverse=True)[1] for c in (left, right))
-        none = 0.0 if optional else NEVER
-        whole = np.full((a.max() + 1, b.max() + 1), none)
-        np.minimum.at(whole, (a, b), rows[cost].to_numpy(dtype=float))
-        chosen = {(r, c) for r, c in least_cost(whole) if whole[r, c] < none}
-        hit = [(r, c) in chosen for r, c in zip(a, b, strict=True)]
-        return rows[hit].drop_duplicates([left, right])
-
     names = [*group, left, right, cost]
-    return pairs.select(names).groupBy(*group).applyInPandas(solve, ", ".join(f"{n} {kinds[n]}" for n in names))
+    near = with_rivals(pairs.select(names), group, left, right, "_rivals")
+    # A pair whose sides are in no other pair is decided by itself.
+    lone = near.where("not _rivals" + (f" and `{cost}` < 0" if optional else "")).drop("_rivals")
+
+    def solve(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        a, b = (np.unique(table.column(c).to_numpy(), return_inverse=True)[1] for c in (left, right))
+        costs, none, hits = table.column(cost).to_numpy().astype(float), 0.0 if optional else NEVER, []
+        for low, high in zip(starts, [*starts[1:], table.num_rows], strict=True):
+            x, y = (np.unique(v[low:high], return_inverse=True)[1] for v in (a, b))
+            whole = np.full((x.max() + 1, y.max() + 1), none)
+            np.minimum.at(whole, (x, y), costs[low:high])
+            chosen = {(r, c) for r, c in least_cost(whole) if whole[r, c] < none}
+            for i, pair in enumerate(zip(x, y, strict=True)):
+                if pair in chosen:
+                    chosen.remove(pair)
+                    hits.append(low + i)
+        return table.take(hits)
+
+    rest = near.where("_rivals").drop("_rivals")
+    return lone.unionByName(in_groups(rest, group, solve, rest.schema))
 
 
 def event_matches(truth: DataFrame, found: DataFrame, keys: Keys, time: str, tolerance: int) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .settled import settled
+
 Keys = Sequence[str]
 
 
@@ -81,15 +83,40 @@ def distribution(df: DataFrame, keys: Keys, value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), *(F.percentile(value, F.lit(q)).alias(k) for k, q in at), F.max(value).alias("largest"))
 
 
+def ranked(df: DataFrame, keys: Keys, score: str, ties: Keys, hit: str, width: float = 0.01) -> DataFrame:
+    """Rows of ``df`` with ``seen``, their place in their key by descending score, ``right``, the hits so far, and ``best``, the largest precision from there on.
+
+    A key is dealt to bins of ``width`` of the score: bins are counted first, rows are numbered inside
+    them, and maxima are carried from bin to bin, so that no task holds a key and none looks at rows twice.
+    """
+    rows = settled(df.withColumn("_bin", F.coalesce(F.floor(F.col(score) / width), F.lit(-(1 << 62)))))
+    cell = [*keys, "_bin"]
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select(*(F.col(c).alias(f"_to{c}") for c in cell), *(c for c in b.columns if c not in cell))
+        return a.join(b, [F.col(c).eqNullSafe(F.col(f"_to{c}")) for c in cell]).drop(*(f"_to{c}" for c in cell))
+
+    earlier = W.Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), F.sum(hit).alias("_h"))
+    starts = sums.select(*cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_h").over(earlier), F.lit(0)).alias("_h0"))
+    down = W.Window.partitionBy(*cell).orderBy(F.desc(score), *ties)
+    rows = met(rows, starts).withColumn("seen", F.col("_n0") + F.row_number().over(down)).withColumn("right", F.col("_h0") + F.sum(hit).over(down.rowsBetween(W.Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_p", F.col("right") / F.col("seen"))
+    later = W.Window.partitionBy(*keys).orderBy("_bin").rowsBetween(W.Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*cell).agg(F.max("_p").alias("_top")).withColumn("_beyond", F.max("_top").over(later)).drop("_top")
+    back = W.Window.partitionBy(*cell).orderBy(F.desc("seen")).rowsBetween(W.Window.unboundedPreceding, 0)
+    return met(rows, tops).withColumn("best", F.greatest(F.max("_p").over(back), "_beyond")).drop("_bin", "_n0", "_h0", "_p", "_beyond")
+
+
 def average_precision(df: DataFrame, keys: Keys, score: str, row_id: str, hit: Column, points: int = 101) -> DataFrame:
     """Area under precision by recall, the best precision at or beyond each of ``points`` recalls; -1 without positives."""
-    order = W.Window.partitionBy(*keys).orderBy(F.desc(score), row_id)
-    upto, on = order.rowsBetween(W.Window.unboundedPreceding, 0), order.rowsBetween(0, W.Window.unboundedFollowing)
-    rows = df.withColumn("_hit", hit.cast("int")).withColumn("_right", F.sum("_hit").over(upto)).withColumn("_seen", F.row_number().over(order))
-    rows = rows.withColumn("_best", F.max(F.col("_right") / F.col("_seen")).over(on)).withColumn("_all", F.sum("_hit").over(W.Window.partitionBy(*keys)))
+    flagged = df.withColumn("_hit", hit.cast("int"))
+    totals = flagged.groupBy(*keys).agg(F.coalesce(F.sum("_hit"), F.lit(0)).alias("_all"))
+    rows = ranked(flagged.select(*keys, score, row_id, "_hit"), keys, score, [row_id], "_hit").where("_hit = 1").select(*(F.col(k).alias(f"_to{k}") for k in keys), "right", "best")
+    rows = totals.join(rows, [F.col(k).eqNullSafe(F.col(f"_to{k}")) for k in keys], "left")
     # A positive carries the recalls it is the first to reach.
-    steps = F.floor(F.col("_right") * (points - 1) / F.col("_all")) - F.floor((F.col("_right") - 1) * (points - 1) / F.col("_all")) + F.when(F.col("_right") == 1, 1).otherwise(0)
-    return rows.groupBy(*keys).agg(F.when(F.max("_all") > 0, F.sum(F.when(F.col("_hit") == 1, F.col("_best") * steps).otherwise(0.0)) / points).otherwise(-1.0).alias("ap"))
+    steps = F.floor(F.col("right") * (points - 1) / F.col("_all")) - F.floor((F.col("right") - 1) * (points - 1) / F.col("_all")) + F.when(F.col("right") == 1, 1).otherwise(0)
+    return rows.groupBy(*keys).agg(F.when(F.max("_all") > 0, F.sum(F.col("best") * steps) / points).otherwise(-1.0).alias("ap"))
 
 
 def gate(candidate: DataFrame, baseline: DataFrame, keys: Keys, value: str, tolerance: float) -> DataFrame:

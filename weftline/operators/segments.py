@@ -14,7 +14,7 @@ from pyspark.sql import window as W
 from pyspark.sql.types import StructType
 
 from . import joins, matching, metrics, temporal
-from .streamed import streamed
+from .streamed import streamed, with_rivals
 
 Keys = Sequence[str]
 
@@ -63,18 +63,28 @@ def greedy(pairs: DataFrame, keys: Keys, order: Keys, left: str, right: str) ->
     return streamed(rows, keys, order, step, StructType([rows.schema[c] for c in (*keys, left, right)]))
 
 
+def greedy_levels(pairs: DataFrame, keys: Keys, value: str, levels: Sequence[float], order: Keys, left: str, right: str, slack: float = 0.0, **columns: Column) -> DataFrame:
+    """:func:`greedy` among the pairs whose ``value`` reaches a level, for each of ``levels`` as ``threshold``. ``columns`` are what ``order`` names.
+
+    A pair whose sides have no other pair at the lowest level is free at all that it reaches; only the others are gone through in order.
+    """
+    floor = lambda t: F.least(t, F.lit(1 - slack)) if slack else t
+    near = with_rivals(pairs.where(F.col(value) >= floor(F.lit(min(levels)))), keys, left, right, "_rivals")
+    near = near.select(*keys, left, right, value, "_rivals", *(c.alias(k) for k, c in columns.items() if k not in pairs.columns))
+    near = near.withColumn("threshold", F.explode(F.array(*map(F.lit, levels)))).where(F.col(value) >= floor(F.col("threshold")))
+    free = near.where("not _rivals").select(*keys, "threshold", left, right)
+    return free.unionByName(greedy(near.where("_rivals"), [*keys, "threshold"], order, left, right))
+
+
 def temporal_precision(truth: DataFrame, found: DataFrame, group: str, kind: str, thresholds: Sequence[float], width: int) -> DataFrame:
     """Average precision per class and threshold. Finds, the best score first, take the free truth of their group that they overlap best."""
     cuts = F.explode(F.array(*map(F.lit, thresholds)))
-    pairs = overlapping(truth, found, [group, kind], width).withColumn("threshold", cuts).where(F.col("iou") >= F.col("threshold"))
-    pairs = pairs.withColumn("worse", -F.col("p_score")).withColumn("apart", -F.col("iou")).withColumn("later", -F.col("t_id"))
-    hits = greedy(pairs, [group, kind, "threshold"], ["worse", "p_id", "apart", "later"], "p_id", "t_id").select(kind, "threshold", F.col("p_id").alias("id"), F.lit(1).alias("hit"))
+    pairs = overlapping(truth, found, [group, kind], width)
+    hits = greedy_levels(pairs, [group, kind], "iou", thresholds, ["worse", "p_id", "apart", "later"], "p_id", "t_id", worse=-F.col("p_score"), apart=-F.col("iou"), later=-F.col("t_id"))
+    hits = hits.select(kind, "threshold", F.col("p_id").alias("id"), F.lit(1).alias("hit"))
     totals = truth.groupBy(kind).agg(F.count("*").alias("truths"))
     rows = found.select(kind, "id", "score").withColumn("threshold", cuts).join(hits, [kind, "threshold", "id"], "left").fillna({"hit": 0})
-    order = W.Window.partitionBy(kind, "threshold").orderBy(F.desc("score"), "id")
-    rows = rows.withColumn("precision", F.sum("hit").over(order.rowsBetween(W.Window.unboundedPreceding, 0)) / F.row_number().over(order))
-    rows = rows.withColumn("best", F.max("precision").over(order.rowsBetween(0, W.Window.unboundedFollowing)))
-    sums = rows.groupBy(kind, "threshold").agg(F.sum(F.when(F.col("hit") == 1, F.col("best")).otherwise(0.0)).alias("area"))
+    sums = metrics.ranked(rows, [kind, "threshold"], "score", ["id"], "hit").groupBy(kind, "threshold").agg(F.sum(F.when(F.col("hit") == 1, F.col("best")).otherwise(0.0)).alias("area"))
     return totals.withColumn("threshold", cuts).join(sums, [kind, "threshold"], "left").select(kind, "threshold", (F.coalesce("area", F.lit(0.0)) / F.col("truths")).alias("ap"))
 
 

@@ -13,13 +13,16 @@ from pyspark.sql import window as W
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.geometry import box_iou
+from . import metrics
 from .matching import assigned, least_cost
-from .segments import greedy
+from .segments import greedy_levels
 from .streamed import streamed
 
 #: Thresholds of similarity that HOTA is a mean over, and the slack of comparisons with them.
 ALPHAS, SLACK = tuple(round(0.05 * i, 2) for i in range(1, 20)), 2.220446049250313e-16
 FRAME = ["sequence", "frame"]
+#: Thresholds of the average precision of boxes.
+LEVELS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
 
 def similar(truth: DataFrame, found: DataFrame) -> DataFrame:
@@ -115,20 +118,16 @@ def detection_precision(truth: DataFrame, found: DataFrame, most: int = 100, poi
     Of each image and class the ``most`` finds of best score count. They take, best score first, the
     free truth they share most with. ``sequence`` and ``frame`` name an image; finds have ``score``.
     """
-    cuts = F.explode(F.array(*(F.lit(round(0.5 + 0.05 * i, 2)) for i in range(10))))
+    cuts = F.explode(F.array(*map(F.lit, LEVELS)))
     best = W.Window.partitionBy(*FRAME, "class").orderBy(F.desc("score"), "id")
     kept = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
     side = lambda df, x, *more: df.select(*FRAME, "class", F.col("id").alias(x), *(F.col(c).alias(f"{x}{c}") for c in (*"xywh", *more)))
     box = lambda x: tuple(F.col(f"{x}{c}") for c in "xywh")
     pairs = side(truth, "t").join(side(kept, "p", "score"), [*FRAME, "class"]).withColumn("iou", box_iou(box("t"), box("p")))
-    pairs = pairs.withColumn("threshold", cuts).where(F.col("iou") >= F.least(F.col("threshold"), F.lit(1 - 1e-10)))
-    pairs = pairs.withColumn("worse", -F.col("pscore")).withColumn("apart", -F.col("iou")).withColumn("later", -F.col("t"))
-    hits = greedy(pairs, [*FRAME, "class", "threshold"], ["worse", "p", "apart", "later"], "p", "t").select(*FRAME, "class", "threshold", F.col("p").alias("id"), F.lit(1).alias("hit"))
+    hits = greedy_levels(pairs, [*FRAME, "class"], "iou", LEVELS, ["worse", "p", "apart", "later"], "p", "t", 1e-10, worse=-F.col("pscore"), apart=-F.col("iou"), later=-F.col("t"))
+    hits = hits.select(*FRAME, "class", "threshold", F.col("p").alias("id"), F.lit(1).alias("hit"))
     rows = kept.select(*FRAME, "class", "id", "score").withColumn("threshold", cuts).join(hits, [*FRAME, "class", "threshold", "id"], "left").fillna({"hit": 0})
-    order = W.Window.partitionBy("class", "threshold").orderBy(F.desc("score"), *FRAME, "id")
-    upto = order.rowsBetween(W.Window.unboundedPreceding, 0)
-    rows = rows.withColumn("right", F.sum("hit").over(upto)).withColumn("precision", F.sum("hit").over(upto) / F.row_number().over(order))
-    rows = rows.withColumn("best", F.max("precision").over(order.rowsBetween(0, W.Window.unboundedFollowing)))
+    rows = metrics.ranked(rows, ["class", "threshold"], "score", [*FRAME, "id"], "hit")
     totals = truth.groupBy("class").agg(F.count("*").alias("n"))
     # A hit carries the recalls that it is the first to reach.
     reached = lambda k: F.floor(k * (points - 1) / F.col("n"))
