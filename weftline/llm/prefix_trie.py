@@ -192,10 +192,10 @@ def differing(members: DataFrame, turns: DataFrame, salt: int) -> DataFrame:
     """Members whose last turn is another than their representative's: conversation, depth, and what the hash of the turn under the new salt adds to the fingerprint there."""
     starts = turns.groupBy("conv_id", "part").agg(F.max("k").alias("n")).withColumn("k0", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     origin = F.struct("source", "place")
-    groups = members.where("depth > 0").groupBy(*KEY).agg(F.min_by(origin, "conv_id").alias("chosen"), F.min(origin).alias("low"), F.max(origin).alias("high"))
     # Only groups of several source turns can differ, and each source turn is compared once.
-    asked = members.where("depth > 0").join(groups.where("low != high"), list(KEY)).where(origin != F.col("chosen"))
-    asked = asked.select(*KEY, "source", "place", "chosen").distinct()
+    sources = members.where("depth > 0").groupBy(*KEY, "source", "place").agg(F.min("conv_id").alias("least"))
+    groups = sources.groupBy(*KEY).agg(F.min_by(origin, "least").alias("chosen"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    asked = sources.drop("least").join(groups, list(KEY)).where(origin != F.col("chosen"))
     later = F.broadcast(starts.where("k0 > 0").select("part", "conv_id", "k0"))
     texts = turns.join(later, ["part", "conv_id"], "left").select("conv_id", (F.col("k") + F.coalesce("k0", F.lit(0))).alias("i"), "role", "text")
     theirs = texts.select(F.col("conv_id").alias("r_conv"), F.col("i").alias("r_i"), F.col("role").alias("r_role"), F.col("text").alias("r_text"))
