@@ -58,11 +58,11 @@ def curve_index(cell: tuple[int, ...], bits: int) -> int:
     return out
 
 
-def _curve(df: DataFrame) -> DataFrame:
-    """``cell`` and ``curve`` for all 4,096 cells."""
+def _curve(cell: Column) -> Column:
+    """Place on the curve of a cell, out of a constant array of all 4,096."""
     side = 1 << BITS
-    rows = [((a * side + b) * side + c, curve_index((a, b, c), BITS)) for a in range(side) for b in range(side) for c in range(side)]
-    return df.sparkSession.createDataFrame(rows, "cell int, curve int")
+    places = [str(curve_index((a, b, c), BITS)) for a in range(side) for b in range(side) for c in range(side)]
+    return F.element_at(F.split(F.lit(",".join(places)), ",").cast("array<int>"), cell + 1)
 
 
 def size_of(text: str = "text") -> Column:
@@ -85,7 +85,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     number = F.lit(0)
     for k in levels:
         number = number * (1 << BITS) + F.col(k)
-    rows = rows.withColumn("cell", number.cast("int")).join(F.broadcast(_curve(docs)), "cell").drop("cell")
+    rows = rows.withColumn("curve", _curve(number.cast("int")))
     rows = staged(rows, "hilbert-rows")
     subcells = max(64, -(-rows.count() // SUBCELL_ROWS))
     rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(subcells)).cast("int"))
