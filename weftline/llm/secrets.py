@@ -14,6 +14,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from re import _parser
 
@@ -108,7 +109,8 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     queries = {i: [sorted(c)[:: max(1, -(-len(c) // MOST_TRIGRAMS))] for c in trigram_query(r.pattern)] for i, r in enumerate(rules)}
     clauses = [(1 << i, k, t, len(c)) for i, q in queries.items() for k, c in enumerate(q) for t in c]
     grams = sorted({t for _, _, t, _ in clauses})
-    asked = spark.createDataFrame(clauses or [(1, 0, "", 1)], "bit int, clause int, trigram string, size int")
+    named = [dict(zip(("bit", "clause", "trigram", "size"), c, strict=True)) for c in clauses]
+    asked = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(named)), "array<struct<bit:int,clause:int,trigram:string,size:int>>")))
     # The text is put in lower case once, as the start of a fold over the trigrams.
     start = F.struct(F.lower("text").alias("low"), F.array().cast("array<string>").alias("found"))
     step = lambda acc, t: F.struct(acc["low"].alias("low"), F.when(F.contains(acc["low"], t), F.array_append(acc["found"], t)).otherwise(acc["found"]).alias("found"))
