@@ -115,9 +115,9 @@ def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4,
 
 
 def trained(stats: DataFrame, labels: DataFrame, label: str, held_out: Column, max_rows: int) -> Forest:
-    """Trees fitted to the sampled rows' statistics."""
+    """Trees fitted to the sampled rows' statistics; of rows that repeat an id one takes part, that of least statistics."""
     sample = label_sample(labels, label, ~held_out, max_rows)
-    rows = stats.join(F.broadcast(sample), "doc_id").select("_label", *INPUTS).toPandas()
+    rows = stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("_label", *INPUTS)).alias("_r")).select("_r.*").toPandas()
     counts = rows[list(INPUTS)].to_numpy(dtype=np.int64).reshape(-1, len(INPUTS))
     return fit_forest(features(counts), rows["_label"].to_numpy(dtype=np.float64))
 
