@@ -37,7 +37,7 @@ from .common import label_sample, map_batches, remainder_of_id, schema_of, stage
 from .quality_gbt import fit_forest
 
 WINDOW, LEVEL = 16, 12
-#: Bytes of the trained dictionaries; windows taken from each sampled ordinary document.
+#: Bytes of the trained dictionaries; windows taken from each sampled ordinary document, where no other number is asked for.
 ORDINARY, TOXIC, WINDOWS_EACH = 250_000, 2_000, 12
 #: The share of toxic rows with a toxic word or pair is this many times the share of ordinary ones, at least.
 RATIO = 5
@@ -48,9 +48,9 @@ def windows(words: list[bytes]) -> list[bytes]:
     return [b" ".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
 
 
-def spread(found: list[bytes]) -> list[bytes]:
-    """``WINDOWS_EACH`` of the windows, evenly over the whole text; all where there are fewer."""
-    return [found[i * len(found) // WINDOWS_EACH] for i in range(WINDOWS_EACH)] if len(found) > WINDOWS_EACH else found
+def spread(found: list[bytes], most: int | None = WINDOWS_EACH) -> list[bytes]:
+    """``most`` of the windows, evenly over the whole text; all where there are fewer, or where it is None."""
+    return [found[i * len(found) // most] for i in range(most)] if most is not None and len(found) > most else found
 
 
 class Distance:
@@ -177,13 +177,13 @@ def marks(rows: DataFrame, width: int, known: frozenset[bytes], toxic: int, n: i
     return [unit for _, unit in sorted(found)]
 
 
-def ordinary_text(rows: DataFrame) -> bytes:
-    """A dictionary that zstandard trains on windows spread over the ordinary rows."""
+def ordinary_text(rows: DataFrame, most: int | None = WINDOWS_EACH) -> bytes:
+    """A dictionary that zstandard trains on windows spread over the ordinary rows, ``most`` of each."""
 
     def each(batch: pa.RecordBatch) -> dict:
         out = []
         for text in batch.column("text"):
-            out += spread(windows(words_of(text.as_py())))
+            out += spread(windows(words_of(text.as_py())), most)
         return {"w": out}
 
     found = [bytes(r["w"]) for r in map_batches(rows.where("_label = 0").select("text"), each, "w binary").collect()]
@@ -193,14 +193,18 @@ def ordinary_text(rows: DataFrame) -> bytes:
         return b" ".join(sorted(found))[-ORDINARY:]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_fold: int = 1, threshold: float = 0.7, max_rows: int = 20_000) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` of each document."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_fold: int = 1, threshold: float = 0.7, max_rows: int = 20_000, windows_each: int | None = WINDOWS_EACH) -> DataFrame:
+    """``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` of each document.
+
+    At most ``max_rows`` labelled ids are learned from (of rows that repeat one, that whose text has the least hash), and
+    ``windows_each`` windows of each ordinary text, all with None: then the driver holds all of their texts.
+    """
     held = remainder_of_id("doc_id", folds) == held_fold
     sample = label_sample(labels, "toxic", ~held, max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("_label").alias("_label"))
     rows = staged(rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))), "toxicity-sample")
     halves = [rows.where("half = 0"), rows.where("half = 1")]
-    learned = lambda r: (ordinary_text(r), toxic_dictionary(r))
+    learned = lambda r: (ordinary_text(r, windows_each), toxic_dictionary(r))
 
     def gains(batch: pa.RecordBatch, held: tuple[bytes, bytes]) -> np.ndarray:
         d = distance(*held)
