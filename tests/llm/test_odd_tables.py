@@ -89,3 +89,16 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, labels, tmp_path):
         pieces = pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert name == "odd" or not pieces
         assert {p.doc_id for p in pieces} <= {1, 2, 9, None} and all(0 < p.length <= 1024 for p in pieces)
+
+
+def test_distinct_texts_of_one_id_stay(spark):
+    """Only equal or near-equal texts are one document, whatever their ids."""
+    from weftline.llm import near_dedup
+
+    prose = "the river runs past the old mill and the children walk along it to the school every morning before the bell rings"
+    other = "a market opens at dawn where farmers bring apples pears onions and cheese from the hills around our quiet town"
+    rows = [(1, prose, "a"), (1, other, "a"), (1, other, "b"), (2, prose, "c"), (3, other + " again", "d"), (4, None, "e"), (4, "", "f"), (5, "x", "g"), (5, "x", "g")]
+    kept = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    texts = sorted(str(r.text) for r in kept)
+    assert texts == sorted([prose, next(t for t in texts if t.startswith("a market")), "None", "", "x"])
+    assert sum(r.doc_id == 5 for r in kept) == 1

@@ -190,9 +190,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
 
 def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the least of their group, same columns; of rows that repeat an id one stays. Rows without an id stay."""
-    kept = near_duplicates(docs, width=width, percent=percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = W.Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    named = rows.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1").select("_row.*")
-    return named.unionAll(docs.where("doc_id is null"))
+    """The documents that are the least of their group, same columns. Rows without an id stay.
+
+    Rows that repeat an id are one document if their texts are equal, and of those one stays. Other texts of an id are
+    documents of their own: all but that of least hash go under a number made of the id and the text, which stands after the ids.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")).where("doc_id is not null")
+    hashed = F.xxhash64("text")
+    several = rows.select("doc_id", hashed.alias("h")).groupBy("doc_id").agg(F.min("h").alias("_least"), F.max("h").alias("_most")).where("_least <> _most").select(F.col("doc_id").alias("_several"), "_least")
+    own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = rows.join(several, rows["doc_id"] == several["_several"], "left").select(F.when(F.col("_least").isNull() | (F.col("_least") == hashed), F.col("doc_id")).otherwise(own).alias("doc_id"), "text", "_row")
+    kept = near_duplicates(rows.select("doc_id", "text"), width=width, percent=percent).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
+    rows = rows.join(kept, "doc_id").select("doc_id", "_row", "_times")
+    again = rows.where("_times > 1").groupBy("doc_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return rows.where("_times = 1").select("_row.*").unionAll(again.select("_row.*")).unionAll(docs.where("doc_id is null"))
