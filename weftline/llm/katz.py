@@ -21,8 +21,6 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -291,14 +289,6 @@ def _spread_sums(made: DataFrame) -> dict[int, tuple]:
     return {r["h"]: (*(int(r[f"s{i}"]) for i in range(K + 1)), r["p"]) for r in found}
 
 
-def _swept(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps: it does so for plans that have been collected as garbage, first here, then in the JVM."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def katz_scores(docs: DataFrame, *, folds: int = 7, held_fold: int = 2) -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one unigrams) and ``score`` (Katz), log10."""
     spark = docs.sparkSession
@@ -311,7 +301,6 @@ def katz_scores(docs: DataFrame, *, folds: int = 7, held_fold: int = 2) -> DataF
     bits = max(0, int(tokens // BUCKET_TOKENS).bit_length())
     asked = blocks.mapInArrow(_word_requests(bits), MADE)
     answers = staged(asked.groupBy("bucket").applyInArrow(_count_words, MADE), "word-counts")
-    _swept(spark)
     unigrams = Unigrams(_totals(answers, -1, K + 3))
     docs_trained = rows.where("not held_out").count()
     buckets = max(1, -(-tokens // BUCKET_TOKENS))
@@ -319,7 +308,6 @@ def katz_scores(docs: DataFrame, *, folds: int = 7, held_fold: int = 2) -> DataF
     words = answers.where("block >= 0")
     asked = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_bigram_requests(model), MADE)
     pairs = staged(asked.groupBy("bucket").applyInArrow(_count_bigrams(unigrams), MADE), "bigram-counts")
-    _swept(spark)
     factors = discounts(_totals(pairs, -2, K + 1))
     spread = {h: (*s[:-1], np.float64(s[-1])) for h, s in _spread_sums(pairs).items()}
     both = words.unionAll(pairs.where("block >= 0"))
