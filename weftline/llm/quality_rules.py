@@ -2,7 +2,8 @@
 
 Rules vote good (1), bad (-1) or abstain (0) on each document. Expectation-maximisation
 on the counts of all vote patterns estimates how far each rule can be trusted and how
-common good documents are; the posterior probability of "good" is the verdict. Only the
+common good documents are (held between 0.05 and 0.99, so that a rule always has both
+kinds to be judged by); the posterior probability of "good" is the verdict. Only the
 pattern counts reach the driver: at most 3 to the number of rules, whatever the input.
 
 Null texts count as empty. Empty texts have no words and fail the base rules. Very long
