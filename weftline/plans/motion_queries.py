@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import actions, align, spectra
+from ..operators import actions, align, orientation, scenes, spectra
 from .history_queries import EVENTS, HOUR, events
 
 QUERIES, ORACLES = {}, {}
@@ -93,3 +93,42 @@ def correlation_peaks(spark: SparkSession, d: str) -> DataFrame:
     """The best shift of each user, between slots, and how far it stands out."""
     rows = spectra.peak(_lags(spark, d).where("n >= 5"), ["user_id"], 2)
     return rows.select("user_id", F.round("lag", 4).alias("lag"), F.round("correlation", 5).alias("correlation"), F.round("psr", 4).alias("psr"))
+
+
+REST = orientation.Rest(window=360.0 * MINUTE, acc_spread=0.1, turn_spread=1.0, turn_mean=1e-12, gravity=9.81, tolerance=0.5)
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1000.0 AS t, value / 50 AS g FROM events),
+d AS (SELECT *, t - lag(t) OVER w AS dt, lag(t) OVER w AS tb, (g + lag(g) OVER w) / 2 * (t - lag(t) OVER w) / {60.0 * MINUTE} AS da, min(t) OVER (PARTITION BY user_id) AS t0 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+k AS (SELECT user_id, count(*) FILTER (t <= t0 + {360 * MINUTE}) AS n, min(CASE WHEN dt > {1440 * MINUTE} THEN tb END) AS edge, min(t0) AS t0 FROM d GROUP BY 1),
+a AS (SELECT d.*, sum(coalesce(da, 0)) OVER (PARTITION BY user_id ORDER BY t, event_id) AS turn FROM d)
+SELECT user_id, event_id, round(abs(cos(turn / 2)), 6) AS w, round(sin(turn / 2) * cos(turn / 2), 6) AS wz FROM a JOIN k USING (user_id) WHERE n > 1 AND (edge IS NULL OR edge >= k.t0 + {360 * MINUTE}) AND (edge IS NULL OR t <= edge)""")
+def integrated_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Values of users as turn rates about the upright axis, integrated until the first day without an event."""
+    rows = events(spark, d).select("user_id", "event_id", (F.col("us") / 1000.0).alias("t"), (F.col("value") / 50).alias("gz"), *(F.lit(0.0).alias(c) for c in ("ax", "ay", "gx", "gy")), F.lit(9.81).alias("az"))
+    out = orientation.integrated(rows, ["user_id"], "t", "event_id", ["ax", "ay", "az"], ["gx", "gy", "gz"], REST, 1440.0 * MINUTE, 2880.0 * MINUTE, second=60.0 * MINUTE)
+    w, z = F.element_at("q", 1), F.element_at("q", 4)
+    return out.select("user_id", "event_id", F.round(F.abs(w), 6).alias("w"), F.round(w * z, 6).alias("wz"))
+
+
+@query("""WITH a AS (SELECT * FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT * FROM embeddings WHERE vec_id % 2 = 1),
+p AS (SELECT label, a.vec_id AS a_id, b.vec_id AS b_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM a JOIN b USING (label)),
+r AS (SELECT *, row_number() OVER (PARTITION BY label, a_id ORDER BY d, b_id) AS ra, lead(d) OVER (PARTITION BY label, a_id ORDER BY d, b_id) AS d2, row_number() OVER (PARTITION BY label, b_id ORDER BY d, a_id) AS rb, count(*) OVER (PARTITION BY label, a_id) AS nb, count(*) OVER (PARTITION BY label, b_id) AS na FROM p)
+SELECT label, a_id, b_id, round(d, 5) AS distance FROM r WHERE ra = 1 AND rb = 1 AND d < 0.97 * d2 AND na > 1 AND nb > 1""")
+def descriptor_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of even and odd ids that are each other's nearest within their label, clearly nearer than the second."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    out = scenes.match_descriptors(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), ["label"], "vec_id", "embedding", 0.97, 256)
+    return out.select("label", "a_id", "b_id", F.round("distance", 5).alias("distance"))
+
+
+@query("""SELECT l_suppkey, count(*) AS matches, count(*) FILTER (l_linenumber <= 4) AS inliers, CAST(2 AS DOUBLE) AS scale, CAST(3 AS DOUBLE) AS height FROM lineitem GROUP BY 1 HAVING count(*) >= 3""")
+def moved_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a supplier as points, turned, doubled and shifted; lines past the fourth went elsewhere and must not sway the fit."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    x, y, z = F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 300
+    stray = lambda k: F.when(F.col("l_linenumber") > 4, 50.0 + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000))).otherwise(0.0)
+    target = F.array(-2 * y + 1 + stray(1), 2 * x + 2 + stray(2), 2 * z + 3 + stray(3))
+    pairs = rows.select("l_suppkey", "id", F.array(x, y, z).alias("source"), target.alias("target"))
+    out = scenes.ransac_similarity(pairs, ["l_suppkey"], "id", "source", "target", 0.01, 60)
+    return out.select("l_suppkey", "matches", "inliers", F.round("scale", 4).alias("scale"), F.round(F.element_at("p", 3), 2).alias("height"))
