@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import actions, align, orientation, scenes, spectra
+from ..operators import actions, align, contacts, orientation, scenes, spectra
 from .history_queries import EVENTS, HOUR, events
 
 QUERIES, ORACLES = {}, {}
@@ -132,3 +132,46 @@ def moved_lines(spark: SparkSession, d: str) -> DataFrame:
     pairs = rows.select("l_suppkey", "id", F.array(x, y, z).alias("source"), target.alias("target"))
     out = scenes.ransac_similarity(pairs, ["l_suppkey"], "id", "source", "target", 0.01, 60)
     return out.select("l_suppkey", "matches", "inliers", F.round("scale", 4).alias("scale"), F.round(F.element_at("p", 3), 2).alias("height"))
+
+
+K = "CAST(json_extract(props, '$.k') AS INT)"
+
+
+def _with_k(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).withColumn("t", F.expr("us div 1000")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, value, {K} AS k FROM events), h AS (SELECT *, k % 10 <> 0 AND value <= 40 AS holds, lag(t) OVER w AS tb FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+c AS (SELECT *, sum(CASE WHEN NOT holds OR t - tb > {1440 * MINUTE} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS c FROM h), r AS (SELECT user_id, c, min(t) FILTER (value <= 20) AS s, max(t) FILTER (value <= 20) AS e FROM c WHERE holds GROUP BY 1, 2),
+i AS (SELECT *, CASE WHEN lag(e) OVER w IS NULL OR s - max(e) OVER (PARTITION BY user_id ORDER BY s, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {720 * MINUTE} THEN 1 ELSE 0 END AS fresh FROM r WHERE s IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY s, c)), j AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, c) AS g FROM i)
+SELECT user_id, min(s) AS "start", max(e) AS "end" FROM j GROUP BY user_id, g HAVING max(e) - min(s) >= {60 * MINUTE}""")
+def gated_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Times of low values of a user, from 20 or less until above 40, where every tenth key is a gate that ends them."""
+    return contacts.surface_contacts(_with_k(spark, d), ["user_id"], "t", "event_id", "value", F.col("k") % 10 != 0, 20, 40, 1440 * MINUTE, 720 * MINUTE, 60 * MINUTE)
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, epoch_us(ts) // {24 * HOUR} AS day, value / 60 AS a, {K} / 100.0 AS b FROM events), p AS (SELECT *, 2.0 * a AS x, 1.0 * b AS y, lag(2.0 * a) OVER w AS x0, lag(1.0 * b) OVER w AS y0, count(*) OVER (PARTITION BY user_id, day) AS n FROM e WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id)),
+s AS (SELECT user_id, coalesce(x0, x) AS x0, coalesce(y0, y) AS y0, x, y, x - coalesce(x0, x) AS dx, y - coalesce(y0, y) AS dy FROM p WHERE x0 IS NOT NULL OR n = 1), g AS (SELECT i, j, (i + 0.5) * 0.1 AS gx, (j + 0.5) * 0.1 AS gy FROM range(20) r(i), range(10) q(j)),
+c AS (SELECT DISTINCT user_id, i, j FROM s JOIN g ON gx >= least(x0, x) - 0.15 AND gx <= greatest(x0, x) + 0.15 AND gy >= least(y0, y) - 0.15 AND gy <= greatest(y0, y) + 0.15
+  WHERE sqrt(power(gx - x0 - dx * greatest(0, least(1, coalesce(((gx - x0) * dx + (gy - y0) * dy) / nullif(dx * dx + dy * dy, 0), 0))), 2) + power(gy - y0 - dy * greatest(0, least(1, coalesce(((gx - x0) * dx + (gy - y0) * dy) / nullif(dx * dx + dy * dy, 0), 0))), 2)) <= 0.15)
+SELECT u.user_id, round(count(c.i) / 200.0, 6) AS ratio FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN c USING (user_id) GROUP BY 1""")
+def swept_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The share of a two by one table that a user's events, a path a day, pass within 0.15 of."""
+    path = _with_k(spark, d).select("user_id", "event_id", "us", F.expr(f"us div {24 * HOUR}").alias("day"), (F.col("value") / 60).alias("a"), (F.col("k") / 100).alias("b"), F.lit(2.0).alias("width"), F.lit(1.0).alias("height"))
+    return contacts.coverage(path, ["user_id"], "day", "us", "event_id", 0.15, 0.1).select("user_id", F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"""WITH e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS t, value, {K} AS k FROM events),
+b AS (SELECT user_id, 'e' || k % 3 AS entity, t, min(value) AS x, min(k) AS y, bool_or(k % 11 = 0) AS o FROM e WHERE event_type = 'view' GROUP BY 1, 2, 3), h AS (SELECT DISTINCT user_id, t FROM e WHERE event_type <> 'view'),
+s AS (SELECT user_id, entity, min(t) AS t0, max(t) AS t1 FROM b GROUP BY 1, 2), q AS (SELECT h.user_id, h.t, s.entity FROM h JOIN s ON s.user_id = h.user_id AND h.t BETWEEN t0 AND t1),
+m AS (SELECT q.*, p.t AS ta, p.x AS xa, p.y AS ya, p.o AS oa FROM q ASOF JOIN b p ON q.user_id = p.user_id AND q.entity = p.entity AND q.t >= p.t), n AS (SELECT m.*, f.t AS tb, f.x AS xb, f.y AS yb, f.o AS ob FROM m ASOF JOIN b f ON m.user_id = f.user_id AND m.entity = f.entity AND m.t <= f.t),
+a AS (SELECT user_id, t, entity, xa + (xb - xa) * coalesce((t - ta) / nullif(tb - ta, 0), 0) AS x, ya + (yb - ya) * coalesce((t - ta) / nullif(tb - ta, 0), 0) AS y FROM n WHERE NOT oa AND NOT ob AND tb - ta <= {4320 * MINUTE}),
+d AS (SELECT a.user_id, a.t, a.entity, min(sqrt(power(greatest(x - e.value, 0, e.value - (x + 20)), 2) + power(greatest(y - e.k, 0, e.k - (y + 30)), 2))) AS d FROM a JOIN e ON e.user_id = a.user_id AND e.t = a.t AND e.event_type <> 'view' GROUP BY 1, 2, 3),
+g AS (SELECT user_id, t, arg_min(entity, (d, entity)) AS entity FROM d WHERE d <= 15 GROUP BY 1, 2), r AS (SELECT *, CASE WHEN lag(entity) OVER w IS NULL OR lag(entity) OVER w <> entity OR t - lag(t) OVER w > {2880 * MINUTE} THEN 1 ELSE 0 END AS fresh FROM g WINDOW w AS (PARTITION BY user_id ORDER BY t)), z AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t) AS i FROM r)
+SELECT user_id, entity, min(t) AS "start", max(t) AS "end" FROM z GROUP BY user_id, i, entity HAVING max(t) - min(t) >= {30 * MINUTE}""")
+def touched_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Views as boxes of three entities, other events as fingers: which entity a user's fingers stay at."""
+    rows = _with_k(spark, d)
+    boxes = rows.where("event_type = 'view'").withColumn("entity", F.concat(F.lit("e"), F.col("k") % 3)).groupBy("user_id", "entity", "t").agg(F.min("value").alias("x"), F.min("k").alias("y"), F.lit(20.0).alias("w"), F.lit(30.0).alias("h"), F.max(F.col("k") % 11 == 0).alias("outside"))
+    points = rows.where("event_type <> 'view'").select("user_id", "t", F.col("value").alias("px"), F.col("k").alias("py"))
+    return contacts.video_contacts(points, boxes, ["user_id"], "t", 15, 4320 * MINUTE, 2880 * MINUTE, 30 * MINUTE, 7200 * MINUTE).select("user_id", "entity", "start", "end")
