@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contracts, terms
-from ..sources import klv
+from ..sources import episodes, klv
 from .history_queries import EVENTS, events
 from .report_queries import table
 
@@ -125,3 +125,21 @@ def embedded_readings(spark: SparkSession, d: str) -> DataFrame:
     packets = days.select("user_id", (F.col("day") * DAY_MS).cast("double").alias("start"), F.lit(0.0).alias("duration"), _encoded(F.transform("e", lambda e: F.struct(e["event_id"].alias("event_id"), e["value"].alias("value")))).alias("payload"))
     out = klv.sensor_samples(klv.with_durations(packets, "user_id", "start", "duration"), "user_id", "start", "duration", "payload", "ACCL")
     return out.select("user_id", F.round("t", 2).alias("t"), "x", "y", "z")
+
+
+HOUR_MS = 3_600_000
+
+
+@query(f"""WITH e AS (SELECT user_id, epoch_us(ts) / 1000.0 AS t, value FROM events), s AS (SELECT user_id, min(t) AS a, max(t) AS b FROM e GROUP BY 1),
+g AS (SELECT user_id, a, unnest(range(0, CAST(ceil((b - a) / {12 * HOUR_MS}.0 - 1e-9) AS BIGINT))) AS frame FROM s), q AS (SELECT user_id, frame, a + frame * {12 * HOUR_MS}.0 AS t FROM g),
+p AS (SELECT q.*, x.t AS t0, x.value AS v0 FROM q ASOF JOIN e x ON x.user_id = q.user_id AND q.t >= x.t), n AS (SELECT p.*, y.t AS t1, y.value AS v1 FROM p ASOF JOIN e y ON y.user_id = p.user_id AND p.t <= y.t),
+v AS (SELECT user_id, frame, CASE WHEN t0 = t THEN v0 WHEN t1 = t THEN v1 WHEN t1 - t0 <= {48 * HOUR_MS} THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS v FROM n)
+SELECT user_id, frame, round(coalesce(v, 0), 6) AS state, v IS NOT NULL AS valid, round(coalesce(lead(coalesce(v, 0)) OVER (PARTITION BY user_id ORDER BY frame), coalesce(v, 0)), 6) AS action FROM v""")
+def episode_frames(spark: SparkSession, d: str) -> DataFrame:
+    """A user's values on a grid of half days, with the state of the next frame as the action."""
+    rows = events(spark, d).select("user_id", "event_id", (F.col("us") / 1000.0).alias("t"), "value")
+    sessions = rows.groupBy("user_id").agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    grid = episodes.frame_grid(sessions, "user_id", "start", "end", 1 / 12, float(HOUR_MS))
+    out = episodes.episode_rows(episodes.with_series(grid, "user_id", "v", rows, "event_id", "value", 48.0 * HOUR_MS), "user_id", ["v"])
+    first = lambda c: F.element_at(c, 1)
+    return out.select("user_id", "frame", F.round(first("state"), 6).alias("state"), first("valid").alias("valid"), F.round(first("action"), 6).alias("action"))
