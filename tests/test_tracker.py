@@ -62,3 +62,30 @@ def test_states_are_forgotten(spark, tmp_path):
         got = sorted((r.key, r.before, r.after) for r in spark.read.schema(moves.schema).parquet(f"{tmp_path}/out{n}").collect())
         # Key 1 wasn't heard of for more than 36 hours and starts anew; key 2 never goes back from done.
         assert got == [[(1, None, "raw"), (2, None, "done")], [], [(1, None, "raw")]][n]
+
+
+def test_the_surest_detection_chooses_first():
+    """Crowds of boxes, against a plain loop: detections choose in order of score, equal areas go to the track opened last."""
+    import random
+
+    rng = random.Random(4)
+    state, tracks = None, []
+    for at in range(0, 3000, 100):
+        found = [(i, rng.choice("ab"), (float(rng.randint(0, 6)), 0.0, 6.0, 6.0), rng.choice([0.2, 0.5, 0.9])) for i in range(rng.randint(0, 7))]
+        state, given = tracker.advance(state, at, found, 0.3, 250)
+        still = [t for t in tracks if at - t["at"] <= 250]
+        used, want = set(), {}
+        for i, kind, box, _ in sorted(found, key=lambda f: -f[3]):
+            best, most = None, 0.3
+            for k, t in enumerate(still):
+                if k not in used and t["kind"] == kind and tracker.shared(t["box"], box) >= most:
+                    best, most = k, tracker.shared(t["box"], box)
+            if best is None:
+                tracks.append({"kind": kind, "box": box, "at": at, "n": len(tracks)})
+                want[i] = tracks[-1]["n"]
+            else:
+                used.add(best)
+                still[best] |= {"box": box, "at": at}
+                want[i] = still[best]["n"]
+        assert dict(given) == want
+    assert state["next"] == len(tracks) > 5

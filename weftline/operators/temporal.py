@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import joins
+
 Keys = Sequence[str]
 
 
@@ -63,10 +65,10 @@ def holes(df: DataFrame, keys: Keys, start: str, end: str, row_id: str, low: int
     return before.unionByName(after).where("hole_end > hole_start")
 
 
-def subtracted(spans: DataFrame, cuts: DataFrame, keys: Keys, span_id: str, start: str, end: str, cut_id: str) -> DataFrame:
-    """What is left of each span of ``spans`` without the same key's ``cuts``. Both have ``start`` and ``end``."""
-    cuts = cuts.select(*keys, F.col(start).alias("_cs"), F.col(end).alias("_ce"), F.col(cut_id).alias("_cid")).where("_ce > _cs")
-    hit = spans.join(cuts, list(keys)).where((F.col("_cs") < F.col(end)) & (F.col("_ce") > F.col(start)))
+def subtracted(spans: DataFrame, cuts: DataFrame, keys: Keys, span_id: str, start: str, end: str, cut_id: str, width: int) -> DataFrame:
+    """What is left of each span of ``spans`` without the same key's ``cuts``. Both have ``start`` and ``end``, and meet in bins of ``width``."""
+    cuts = cuts.select(*keys, F.col(start).alias("_cs"), F.col(end).alias("_ce"), F.col(cut_id).alias("_cid"))
+    hit = joins.overlaps(spans, cuts, keys, (start, end), ("_cs", "_ce"), width).drop("overlap")
     merged_cuts = merged(hit, [*keys, span_id, start, end], "_cs", "_ce", "_cid")
     order = W.Window.partitionBy(*keys, span_id).orderBy("_cs")
     pieces = merged_cuts.select(*keys, span_id, F.coalesce(F.lag("_ce").over(order), F.col(start)).alias("part_start"), F.col("_cs").alias("part_end"))

@@ -19,31 +19,31 @@ def shared(a: Box, b: Box) -> float:
     return 0.0 if w <= 0 or h <= 0 else w * h / (a[2] * a[3] + b[2] * b[3] - w * h)
 
 
-def advance(state: dict | None, at: int, found: Sequence[tuple[int, str, Box]], least: float, longest: int) -> tuple[dict, list[tuple[int, int]]]:
-    """One frame: ``found`` (id, class, box) meet the open tracks of their class, the best shared area first; what is left opens tracks. Tracks not seen for ``longest`` are closed, so the state holds open ones only."""
+def advance(state: dict | None, at: int, found: Sequence[tuple[int, str, Box, float]], least: float, longest: int) -> tuple[dict, list[tuple[int, int]]]:
+    """One frame: ``found`` (id, class, box, score) choose in order of their score, equal ones in order of ``found``, the free open track of their class that shares most with them, of equals the one opened last; who finds none opens a track. Tracks not seen for ``longest`` are closed, so the state holds open ones only."""
     state = state or {"next": 0, "open": []}
-    tracks = [t for t in state["open"] if at - t[3] <= longest]
-    pairs = sorted(((-s, t[0], i, n, k) for k, t in enumerate(tracks) for n, (i, kind, box) in enumerate(found) if kind == t[1] and (s := shared(t[2], box)) >= least))
-    taken, given = set(), {}
-    for _, _, _, n, k in pairs:
-        if k not in taken and n not in given:
-            taken.add(k)
+    tracks = sorted(t for t in state["open"] if at - t[3] <= longest)
+    free, given, fresh = set(range(len(tracks))), {}, state["next"]
+    for n in sorted(range(len(found)), key=lambda n: -found[n][3]):
+        _, kind, box, _ = found[n]
+        near = [(s, k) for k in free if tracks[k][1] == kind and (s := shared(tracks[k][2], box)) >= least]
+        if near:
+            k = max(near)[1]
+            free.remove(k)
             given[n] = tracks[k][0]
-    for n in range(len(found)):
-        if n not in given:
-            given[n] = state["next"]
-            state["next"] += 1
-    now = [(given[n], kind, box, at) for n, (_, kind, box) in enumerate(found)]
-    rest = [t for k, t in enumerate(tracks) if k not in taken]
-    return {"next": state["next"], "open": rest + now}, [(found[n][0], given[n]) for n in sorted(given)]
+        else:
+            given[n], fresh = fresh, fresh + 1
+    now = [(given[n], kind, box, at) for n, (_, kind, box, _) in enumerate(found)]
+    return {"next": fresh, "open": [tracks[k] for k in sorted(free)] + now}, [(found[n][0], given[n]) for n in sorted(given)]
 
 
 def tracks(boxes: DataFrame, least: float = 0.5, longest: int = 1000) -> DataFrame:
-    """``track`` of each box (``sequence``, ``frame`` as a time, ``id``, ``class``, ``x``, ``y``, ``w``, ``h``): numbers from 0 in each sequence."""
-    frames = boxes.groupBy("sequence", "frame").agg(F.array_sort(F.collect_list(F.struct("id", "class", "x", "y", "w", "h"))).alias("boxes"))
+    """``track`` of each box (``sequence``, ``frame`` as a time, ``id``, ``class``, ``x``, ``y``, ``w``, ``h``, and ``score`` where there is one): numbers from 0 in each sequence."""
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in boxes.columns else F.lit(0.0)
+    frames = boxes.groupBy("sequence", "frame").agg(F.array_sort(F.collect_list(F.struct("id", "class", "x", "y", "w", "h", score.alias("score")))).alias("boxes"))
 
     def step(state: dict | None, row: dict) -> tuple[dict, list[dict]]:
-        state, given = advance(state, row["frame"], [(b["id"], b["class"], (b["x"], b["y"], b["w"], b["h"])) for b in row["boxes"]], least, longest)
+        state, given = advance(state, row["frame"], [(b["id"], b["class"], (b["x"], b["y"], b["w"], b["h"]), b["score"]) for b in row["boxes"]], least, longest)
         return state, [{"sequence": row["sequence"], "frame": row["frame"], "id": i, "track": t} for i, t in given]
 
     schema = StructType([boxes.schema["sequence"], boxes.schema["frame"], boxes.schema["id"], StructField("track", LongType())])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
 from ..operators import relations
+from ..operators.numbering import numbered
 from ..operators.rules import Rule
 from ..sources import exports
 from .history_queries import EVENTS, HOUR, events
@@ -79,11 +80,9 @@ def export_categories(spark: SparkSession, d: str) -> DataFrame:
 SELECT row_number() OVER (ORDER BY image_id, id) AS annotation_id, CAST(image_id AS INT) AS image_id, CAST(category_id AS INT) AS category_id, x, CAST(w * 3.0 AS DOUBLE) AS area FROM b JOIN i USING (video, frame) JOIN c ON name = kind WHERE w > 0""")
 def export_annotations(spark: SparkSession, d: str) -> DataFrame:
     """Lines as boxes in the pictures of their supplier and day."""
-    from pyspark.sql import window as W
-
     lines = table(spark, d, "lineitem")
-    order = W.Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    boxes = lines.select(F.col("l_suppkey").alias("video"), F.col("l_shipdate").cast("date").alias("frame"), F.row_number().over(order).alias("id"), F.col("l_quantity").alias("x"), F.lit(0.0).alias("y"), (F.col("l_linenumber") - 2.0).alias("w"), F.lit(3.0).alias("h"), F.col("l_returnflag").alias("kind"))
+    rows = numbered(lines, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "id")
+    boxes = rows.select(F.col("l_suppkey").alias("video"), F.col("l_shipdate").cast("date").alias("frame"), "id", F.col("l_quantity").alias("x"), F.lit(0.0).alias("y"), (F.col("l_linenumber") - 2.0).alias("w"), F.lit(3.0).alias("h"), F.col("l_returnflag").alias("kind"))
     ids = exports.categories(lines.where("l_returnflag <> 'N'"), "l_returnflag")
     return exports.annotations(boxes, ["video", "frame"], "kind", ids)[1].select("annotation_id", "image_id", "category_id", F.element_at("bbox", 1).alias("x"), "area")
 
@@ -91,6 +90,4 @@ def export_annotations(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT)) AS place, c_name FROM customer""")
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
     """Customers in natural order of their names."""
-    from pyspark.sql import window as W
-
-    return table(spark, d, "customer").select(F.row_number().over(W.Window.orderBy(natural_key(F.col("c_name")))).cast("long").alias("place"), "c_name")
+    return numbered(table(spark, d, "customer"), [natural_key(F.col("c_name"))], "place").select("place", "c_name")

@@ -110,7 +110,7 @@ def subtracted_intervals(spark: SparkSession, d: str) -> DataFrame:
     rows = intervals(spark, d)
     views = rows.where("event_type = 'view'").select("event_id", "user_id", "us", (F.col("us") + 4 * HOUR).alias("e"))
     clicks = rows.where("event_type = 'click'").select("event_id", "user_id", "us", (F.col("us") + HOUR // 2).alias("e"))
-    return temporal.subtracted(views, clicks, ["user_id"], "event_id", "us", "e", "event_id")
+    return temporal.subtracted(views, clicks, ["user_id"], "event_id", "us", "e", "event_id", 4 * HOUR)
 
 
 @query(f"""WITH {EVENTS}, s AS (SELECT *, sum(CASE WHEN value < 4 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id) AS st FROM e0), h AS (SELECT * FROM s WHERE value >= 4),

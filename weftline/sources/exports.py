@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.text import natural_key
+from ..operators.numbering import numbered
 
 
 def categories(names: DataFrame, name: str, first: Sequence[str] = (), always: Sequence[str] = ()) -> DataFrame:
@@ -23,16 +24,12 @@ def categories(names: DataFrame, name: str, first: Sequence[str] = (), always: S
 def annotations(boxes: DataFrame, images: Sequence[str], kind: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Images (``image_id`` by ``images``) and annotations (``annotation_id``, ``bbox``, ``area``, ``category_id``), numbered from 1 in order.
 
-    Numbers come from counts: of images before an image, and of boxes before its first box. Boxes
+    Numbers come from counts of the rows before ranges of rows. Boxes
     without an area, and of kinds without a category, are left out; images without boxes stay.
     """
-    pictures = boxes.select(*images).distinct()
-    pictures = pictures.withColumn("image_id", F.row_number().over(W.Window.orderBy(*images)))
+    pictures = numbered(boxes.select(*images).distinct(), images, "image_id").withColumn("image_id", F.col("image_id").cast("int"))
     kept = boxes.where("w > 0 and h > 0").join(ids.withColumnRenamed("name", kind), kind).join(pictures, list(images))
-    per_image = kept.groupBy("image_id").agg(F.count("*").alias("_n"))
-    before = per_image.select("image_id", F.coalesce(F.sum("_n").over(W.Window.orderBy("image_id").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(W.Window.partitionBy("image_id").orderBy("id"))
-    rows = kept.join(before, "image_id").select((F.col("_before") + place).alias("annotation_id"), "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"))
+    rows = numbered(kept, ["image_id", "id"], "annotation_id").select("annotation_id", "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"))
     return pictures, rows
 
 

@@ -75,7 +75,7 @@ def tracked(stream: DataFrame, least: float = 0.5, longest: int = 1000, forget:
         state, out = json.loads(held.get[0]) if held.exists else None, []
         rows = pd.concat(list(batches)).sort_values(["frame", "id"]).rename(columns={"class": "kind"})
         for at, boxes in rows.groupby("frame"):
-            state, given = advance(state, int(at), [(int(b.id), b.kind, (b.x, b.y, b.w, b.h)) for b in boxes.itertuples(index=False)], least, longest)
+            state, given = advance(state, int(at), [(int(b.id), b.kind, (b.x, b.y, b.w, b.h), float(getattr(b, "score", 0.0))) for b in boxes.itertuples(index=False)], least, longest)
             out += [(keys[0], int(at), i, t) for i, t in given]
         held.update((json.dumps(state),))
         held.setTimeoutTimestamp(max(int(rows["frame"].max()), held.getCurrentWatermarkMs()) + 1)
