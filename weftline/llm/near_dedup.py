@@ -199,8 +199,12 @@ def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataF
     hashed = F.xxhash64("text")
     several = rows.select("doc_id", hashed.alias("h")).groupBy("doc_id").agg(F.min("h").alias("_least"), F.max("h").alias("_most")).where("_least <> _most").select(F.col("doc_id").alias("_several"), "_least")
     own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    rows = rows.join(several, rows["doc_id"] == several["_several"], "left").select(F.when(F.col("_least").isNull() | (F.col("_least") == hashed), F.col("doc_id")).otherwise(own).alias("doc_id"), "text", "_row")
-    kept = near_duplicates(rows.select("doc_id", "text"), width=width, percent=percent).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
-    rows = rows.join(kept, "doc_id").select("doc_id", "_row", "_times")
-    again = rows.where("_times > 1").groupBy("doc_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
-    return rows.where("_times = 1").select("_row.*").unionAll(again.select("_row.*")).unionAll(docs.where("doc_id is null"))
+    # Texts go through these shuffles only where an id has several texts, or a kept row repeats.
+    if not several.isEmpty():
+        rows = rows.join(several, rows["doc_id"] == several["_several"], "left").select(F.when(F.col("_least").isNull() | (F.col("_least") == hashed), F.col("doc_id")).otherwise(own).alias("doc_id"), "text", "_row")
+    kept = staged(near_duplicates(rows.select("doc_id", "text"), width=width, percent=percent).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times")), "kept")
+    rows = rows.select("doc_id", "_row")
+    out = rows.join(kept.where("_times = 1"), "doc_id", "left_semi").select("_row.*")
+    if not (twice := kept.where("_times > 1")).isEmpty():
+        out = out.unionAll(rows.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*"))
+    return out.unionAll(docs.where("doc_id is null"))
