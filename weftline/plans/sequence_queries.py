@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import bounds, times
-from ..operators import matching, smoothing
+from ..operators import frames, matching, smoothing
 from .history_queries import EVENTS, events
 
 QUERIES, ORACLES = {}, {}
 SQL_LINE = "OVER (PARTITION BY user_id ORDER BY us, event_id)"
 
 
-def line() -> W.WindowSpec:
-    return W.Window.partitionBy("user_id").orderBy("us", "event_id")
-
-
 def query(sql: str | None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -31,7 +27,8 @@ def query(sql: str | None):
 @query(f"WITH {EVENTS} SELECT event_id, value AS state, coalesce(lead(value) {SQL_LINE}, value) AS action FROM e0")
 def next_actions(spark: SparkSession, d: str) -> DataFrame:
     """Each frame's action is the next frame's state; the last repeats its own."""
-    return events(spark, d).select("event_id", F.col("value").alias("state"), F.coalesce(F.lead("value").over(line()), "value").alias("action"))
+    rows = frames.next_values(events(spark, d), ["user_id"], ["us", "event_id"], "value")
+    return rows.select("event_id", F.col("value").alias("state"), "action")
 
 
 @query("""WITH w AS (SELECT event_type, strftime(ts, '%G-W%V') AS week, count(*) AS n FROM events GROUP BY 1, 2)
@@ -47,17 +44,15 @@ def week_alerts(spark: SparkSession, d: str) -> DataFrame:
 SELECT o_custkey, o_orderkey FROM r WHERE k = 1""")
 def effective_registrations(spark: SparkSession, d: str) -> DataFrame:
     """The registration in force: those with a start first, then the latest start, then the latest made."""
-    best = F.max(F.struct((F.col("o_orderstatus") == "F").cast("int").alias("f"), "o_orderdate", "o_orderkey")).getField("o_orderkey")
-    return spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(best.alias("o_orderkey"))
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return frames.in_force(orders, ["o_custkey"], "o_orderkey", F.col("o_orderstatus") == "F", "o_orderdate")
 
 
 @query(f"""WITH {EVENTS}, v AS (SELECT event_id, value, value - lag(value) {SQL_LINE} AS a, us - lag(us) {SQL_LINE} AS ta, lead(value) {SQL_LINE} - value AS b, lead(us) {SQL_LINE} - us AS tb FROM e0)
 SELECT event_id FROM v WHERE ta > 0 AND tb > 0 AND abs(a) * 3600000000.0 > 2.0 * ta AND abs(b) * 3600000000.0 > 2.0 * tb""")
 def speed_spikes(spark: SparkSession, d: str) -> DataFrame:
     """Samples that both neighbours are too fast for: more than two units an hour on either side."""
-    ahead, past = F.lead("value").over(line()) - F.col("value"), F.col("value") - F.lag("value").over(line())
-    df = events(spark, d).select("event_id", past.alias("a"), (F.col("us") - F.lag("us").over(line())).alias("ta"), ahead.alias("b"), (F.lead("us").over(line()) - F.col("us")).alias("tb"))
-    return df.where((F.col("ta") > 0) & (F.col("tb") > 0) & (F.abs("a") * 3.6e9 > 2.0 * F.col("ta")) & (F.abs("b") * 3.6e9 > 2.0 * F.col("tb"))).select("event_id")
+    return frames.spikes(events(spark, d), ["user_id"], "us", "event_id", "value", 2.0, 3.6e9).select("event_id")
 
 
 @query("""WITH p AS (SELECT o_orderpriority, o_custkey, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, o_custkey) AS k FROM p)
@@ -65,32 +60,27 @@ SELECT o_orderpriority, o_custkey, n FROM r WHERE k = 1""")
 def knee_points(spark: SparkSession, d: str) -> DataFrame:
     """The point of most throughput; of equals the one of least load."""
     points = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_orderpriority", "o_custkey").agg(F.count("*").alias("n"))
-    best = points.groupBy("o_orderpriority").agg(F.max(F.struct("n", (-F.col("o_custkey")).alias("k"))).alias("b"))
-    return best.select("o_orderpriority", (-F.col("b.k")).alias("o_custkey"), F.col("b.n").alias("n"))
+    return frames.knee(points, ["o_orderpriority"], "o_custkey", "n").drop("over")
 
 
 @query("WITH f AS (SELECT event_type, min(event_id) AS first_id FROM events GROUP BY 1) SELECT event_type, CAST(row_number() OVER (ORDER BY first_id) - 1 AS INT) AS code FROM f")
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Dense numbers of the values, in the order they were first seen."""
-    seen = events(spark, d).groupBy("event_type").agg(F.min("event_id").alias("first_id"))
-    return seen.select("event_type", (F.row_number().over(W.Window.orderBy("first_id")) - 1).alias("code"))
+    return frames.vocabulary(events(spark, d), "event_type", "event_id")
 
 
 @query(f"""WITH {EVENTS}, r AS (SELECT event_id, row_number() {SQL_LINE} - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM e0)
 SELECT event_id FROM r WHERE k = 0 OR (k * 5) // n > ((k - 1) * 5) // n""")
 def evenly_picked(spark: SparkSession, d: str) -> DataFrame:
     """Five frames of each stream, evenly spread; all where there are fewer."""
-    df = events(spark, d).select("event_id", (F.row_number().over(line()) - 1).alias("k"), F.count("*").over(W.Window.partitionBy("user_id")).alias("n"))
-    return df.where("k = 0 or (k * 5) div n > ((k - 1) * 5) div n").select("event_id")
+    return frames.evenly(events(spark, d), ["user_id"], ["us", "event_id"], 5).select("event_id")
 
 
 @query(f"""WITH {EVENTS}, s AS (SELECT user_id, min(us) FILTER (value >= 20) AS start FROM e0 GROUP BY 1)
 SELECT user_id, count(*) AS frames, max(us) - min(us) AS span FROM e0 JOIN s USING (user_id) WHERE us >= start GROUP BY 1 HAVING count(*) >= 3 AND max(us) - min(us) >= 3600000000""")
 def confident_tracks(spark: SparkSession, d: str) -> DataFrame:
     """Tracks from their first confident frame on; those of few frames or a short span go."""
-    df = events(spark, d).withColumn("start", F.min(F.when(F.col("value") >= 20, F.col("us"))).over(W.Window.partitionBy("user_id")))
-    out = df.where("us >= start").groupBy("user_id").agg(F.count("*").alias("frames"), (F.max("us") - F.min("us")).alias("span"))
-    return out.where("frames >= 3 and span >= 3600000000")
+    return frames.confident(events(spark, d), ["user_id"], "us", F.col("value") >= 20, 3, 3_600_000_000)
 
 
 @query("""SELECT lang, count(*) AS n, round(avg(abs(quality - CASE WHEN n_chars > 500 THEN 1 ELSE 0 END)), 9) AS error
@@ -98,8 +88,8 @@ FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels WHERE qu
 def coverage_errors(spark: SparkSession, d: str) -> DataFrame:
     """Mean distance from the truth; what was not predicted counts as 0."""
     truth = spark.read.parquet(f"{d}/labels.parquet").where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    guess = F.coalesce((F.col("n_chars") > 500).cast("int"), F.lit(0))
-    return spark.read.parquet(f"{d}/documents.parquet").join(truth, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("quality") - guess)), 9).alias("error"))
+    pairs = spark.read.parquet(f"{d}/documents.parquet").join(truth, "doc_id").withColumn("guess", (F.col("n_chars") > 500).cast("int"))
+    return frames.absolute_error(pairs, ["lang"], "quality", "guess").select("lang", "n", F.round("error", 9).alias("error"))
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, t AS (SELECT user_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i FROM e0 WHERE event_type = 'purchase'), f AS (SELECT user_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us) AS j FROM e0 WHERE event_type = 'click'),
