@@ -142,7 +142,7 @@ def search(unit: np.ndarray, levels: list[np.ndarray], queries: np.ndarray, widt
     n = len(unit)
     seen, mark = np.zeros((len(queries), n + 1), dtype=bool), np.zeros((len(queries), n + 1), dtype=np.int16)
     seen[:, -1], seen[rows, at] = True, True
-    ids, sims = np.full((len(queries), width), -1, dtype=np.int64), np.full((len(queries), width), -2, dtype=np.float32)
+    ids, sims = np.full((len(queries), width), -1, dtype=np.int64), np.full((len(queries), width), -2.0)
     ids[:, 0], sims[:, 0] = at, near
     ahead = ids >= 0
     while True:
@@ -165,7 +165,7 @@ def search(unit: np.ndarray, levels: list[np.ndarray], queries: np.ndarray, widt
         who, around, slot = who[once], around[once], slot[once]
         seen[who, around] = True
         met = np.full((len(queries), OPENED * levels[0].shape[1]), -1, dtype=np.int64)
-        close = np.full(met.shape, -2, dtype=np.float32)
+        close = np.full(met.shape, -2.0)
         met[who, slot], close[who, slot] = around, np.einsum("ij,ij->i", unit[around], queries[who])
         all_ids, all_sims, all_ahead = np.hstack([ids[mine], met[mine]]), np.hstack([sims[mine], close[mine]]), np.hstack([ahead[mine], met[mine] >= 0])
         order = (-all_sims).argsort(1, kind="stable")[:, :width]
@@ -177,7 +177,7 @@ def _index(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("rep")
     ids = rows.column("rep").to_numpy()
     vectors = np.stack([np.frombuffer(v.as_py(), dtype="<f8") for v in rows.column("vec")])
-    unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     links = build(unit)
     upper, sizes = [], []
     for level in links[1:]:
@@ -203,7 +203,7 @@ def _opened(row: dict) -> tuple:
         levels.append(level)
         at += 4 * k * (1 + LINKS)
     norms = np.linalg.norm(vectors, axis=1)
-    return ids, vectors, norms, (vectors / norms[:, None]).astype(np.float32), levels
+    return ids, vectors, norms, vectors / norms[:, None], levels
 
 
 def _searched(k: int):
@@ -215,7 +215,7 @@ def _searched(k: int):
         queries = np.frombuffer(b"".join(vectors), dtype="<f8").reshape(len(names), -1)
         lengths = np.linalg.norm(queries, axis=1)
         out: dict[str, list] = {f.name: [] for f in schema}
-        for name, q, length, found in zip(names, queries, lengths, search(unit, levels, (queries / lengths[:, None]).astype(np.float32)), strict=True):
+        for name, q, length, found in zip(names, queries, lengths, search(unit, levels, queries / lengths[:, None]), strict=True):
             found = found[found >= 0]
             scores = originals[found] @ q / (norms[found] * length)
             best = np.lexsort((ids[found], -scores))[: k + 1]
