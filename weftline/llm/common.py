@@ -21,6 +21,9 @@ from pyspark.sql.types import StructField, StructType
 #: (``spark.sql.execution.arrow.maxBytesPerBatch``); no setting of the session is touched.
 SLICE_BYTES = 4 << 20
 
+#: Rows of an id and a number, some 40 bytes each, that are broadcast to spare texts a shuffle; more meet them by one.
+MOST_SENT = 2_000_000
+
 _own_dir: list[str] = []
 
 

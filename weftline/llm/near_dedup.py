@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import map_batches, shingle_hashes, staged, unstage, word_hashes, words_of
+from .common import MOST_SENT, map_batches, shingle_hashes, staged, unstage, word_hashes, words_of
 from .components import components
 
 SKETCH, SHORT, PIVOTS = 48, 16, 6
@@ -203,8 +203,9 @@ def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataF
     if not several.isEmpty():
         rows = rows.join(several, rows["doc_id"] == several["_several"], "left").select(F.when(F.col("_least").isNull() | (F.col("_least") == hashed), F.col("doc_id")).otherwise(own).alias("doc_id"), "text", "_row")
     kept = staged(near_duplicates(rows.select("doc_id", "text"), width=width, percent=percent).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times")), "kept")
-    rows = rows.select("doc_id", "_row")
-    out = rows.join(kept.where("_times = 1"), "doc_id", "left_semi").select("_row.*")
+    rows, single = rows.select("doc_id", "_row"), kept.where("_times = 1").select("doc_id")
+    single = F.broadcast(single) if kept.count() <= MOST_SENT else single
+    out = rows.join(single, "doc_id", "left_semi").select("_row.*")
     if not (twice := kept.where("_times > 1")).isEmpty():
         out = out.unionAll(rows.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*"))
     return out.unionAll(docs.where("doc_id is null"))

@@ -21,6 +21,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import MOST_SENT, staged
+
 #: Clauses of a query, and trigrams of a clause: a few of them tell nearly as much as all.
 MOST_CLAUSES, MOST_TRIGRAMS = 64, 4
 
@@ -146,7 +148,9 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs``, which has no columns named ``_id`` or ``_rules``, with ``secret_spans``: structs of start, place of the kind in ``rules``, kind and end, in that order."""
     must = [bool(trigram_query(r.pattern)) for r in rules]
     named = docs.where("doc_id is not null")
-    found = candidates(named, rules).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
+    found = staged(candidates(named, rules).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules")), "candidates")
+    # Few enough, they go to the documents, and no text is shuffled; else both meet by a shuffle.
+    found = F.broadcast(found) if found.count() <= MOST_SENT else found
     # Rows without an id can't be looked up: they are verified for every rule, where they lie.
     rest = docs.where("doc_id is null").withColumn("_rules", F.lit((1 << len(rules)) - 1).cast("int"))
     rows = named.join(found, named["doc_id"] == found["_id"], "left").drop("_id").unionByName(rest)
