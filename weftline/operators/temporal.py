@@ -65,8 +65,9 @@ def holes(df: DataFrame, keys: Keys, start: str, end: str, row_id: str, low: int
     return before.unionByName(after).where("hole_end > hole_start")
 
 
-def subtracted(spans: DataFrame, cuts: DataFrame, keys: Keys, span_id: str, start: str, end: str, cut_id: str, width: int) -> DataFrame:
-    """What is left of each span of ``spans`` without the same key's ``cuts``. Both have ``start`` and ``end``, and meet in bins of ``width``."""
+def subtracted(spans: DataFrame, cuts: DataFrame, keys: Keys, span_id: str, start: str, end: str, cut_id: str, width: int | None = None) -> DataFrame:
+    """What is left of each span of ``spans`` without the same key's ``cuts``. Both have ``start`` and ``end``, and meet in bins of ``width``, by default the mean length of a span."""
+    width = width or max(1, int(spans.agg(F.avg(F.col(end) - F.col(start))).first()[0] or 1))
     cuts = cuts.select(*keys, F.col(start).alias("_cs"), F.col(end).alias("_ce"), F.col(cut_id).alias("_cid"))
     hit = joins.overlaps(spans, cuts, keys, (start, end), ("_cs", "_ce"), width).drop("overlap")
     merged_cuts = merged(hit, [*keys, span_id, start, end], "_cs", "_ce", "_cid")

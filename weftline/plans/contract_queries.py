@@ -103,16 +103,11 @@ def term_reasons(spark: SparkSession, d: str) -> DataFrame:
 DAY_MS = 86_400_000
 
 
-@F.pandas_udf("binary")
-def _encoded(rows: pd.Series) -> pd.Series:
+def _packet(events: list) -> bytes:
     """A packet of a day's events: hundredths of the value, and two parts of the id, as z, x and y turned round."""
-
-    def packet(events: list) -> bytes:
-        body = b"".join(v.to_bytes(4, "big", signed=True) for e in events for v in (round(e["value"] * 100), int(e["event_id"]) // 1000, int(e["event_id"]) % 1000))
-        scale = klv.item("SCAL", "l", 4, 3, b"".join(v.to_bytes(4, "big") for v in (100, 1, 1)))
-        return klv.nested("DEVC", klv.nested("STRM", scale + klv.item("ORIN", "c", 1, 3, b"ZXy") + klv.item("ACCL", "l", 12, len(events), body)))
-
-    return rows.map(packet)
+    body = b"".join(v.to_bytes(4, "big", signed=True) for e in events for v in (round(e["value"] * 100), int(e["event_id"]) // 1000, int(e["event_id"]) % 1000))
+    scale = klv.item("SCAL", "l", 4, 3, b"".join(v.to_bytes(4, "big") for v in (100, 1, 1)))
+    return klv.nested("DEVC", klv.nested("STRM", scale + klv.item("ORIN", "c", 1, 3, b"ZXy") + klv.item("ACCL", "l", 12, len(events), body)))
 
 
 @query(f"""WITH {EVENTS}, d AS (SELECT *, us // {DAY_MS * 1000} AS day FROM e0), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY us, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id, day) AS n FROM d),
@@ -121,8 +116,13 @@ SELECT user_id, round(day * {DAY_MS}.0 + i * (coalesce(ahead, mid) * {DAY_MS}.0
 def embedded_readings(spark: SparkSession, d: str) -> DataFrame:
     """A day's events of a user packed as a sensor's packet, and read from it again; packets last until the next."""
     rows = events(spark, d).withColumn("day", F.expr(f"us div {DAY_MS * 1000}"))
+
+    @F.pandas_udf("binary")
+    def encoded(rows: pd.Series) -> pd.Series:
+        return rows.map(_packet)
+
     days = rows.groupBy("user_id", "day").agg(F.sort_array(F.collect_list(F.struct("us", "event_id", "value"))).alias("e"))
-    packets = days.select("user_id", (F.col("day") * DAY_MS).cast("double").alias("start"), F.lit(0.0).alias("duration"), _encoded(F.transform("e", lambda e: F.struct(e["event_id"].alias("event_id"), e["value"].alias("value")))).alias("payload"))
+    packets = days.select("user_id", (F.col("day") * DAY_MS).cast("double").alias("start"), F.lit(0.0).alias("duration"), encoded(F.transform("e", lambda e: F.struct(e["event_id"].alias("event_id"), e["value"].alias("value")))).alias("payload"))
     out = klv.sensor_samples(klv.with_durations(packets, "user_id", "start", "duration"), "user_id", "start", "duration", "payload", "ACCL")
     return out.select("user_id", F.round("t", 2).alias("t"), "x", "y", "z")
 
