@@ -20,3 +20,13 @@ def test_near_copies_are_told_apart(radius):
         every[i] = -2
         hits += len(set(np.argsort(-every)[:5]) & set(met[np.argsort(-(unit[met] @ unit[i]))[:5]]))
     assert hits >= 0.95 * 5 * len(queries)
+
+
+def test_workers_let_go_of_other_operators_caches():
+    from weftline.llm import bpe, common
+
+    coder = bpe.bpe("byte_bpe_50k.json")
+    common.let_go("bpe")
+    assert bpe.bpe("byte_bpe_50k.json") is coder
+    common.let_go()
+    assert bpe.bpe("byte_bpe_50k.json") is not coder

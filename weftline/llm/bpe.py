@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, schema_of
+from .common import holds, map_batches, schema_of
 
 #: Words this long in bytes take the heap.
 LONG_WORD = 200
@@ -196,6 +196,7 @@ def bpe(name: str) -> Bpe:
         import public_tokenizers
 
         _loaded[name] = Bpe(name if "/" in name else public_tokenizers.path(name))
+    holds("bpe", _loaded.clear)
     return _loaded[name]
 
 
@@ -212,4 +213,4 @@ def round_trips(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataF
             "decoded_sha256": [hashlib.sha256(coder.decode(x).encode("utf-8")).hexdigest() for x in ids],
         }
 
-    return map_batches(docs.select("doc_id", "text"), each, schema_of(docs, ("doc_id",), "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return map_batches(docs.select("doc_id", "text"), each, schema_of(docs, ("doc_id",), "n_tokens long, ids_sha256 string, decoded_sha256 string"), keeps="bpe")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -83,13 +85,34 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         at = stop
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict | None], schema: str | StructType) -> DataFrame:
-    """Arrow batch in, dict of columns out; a batch is cut by :func:`slices` first."""
+#: What a worker holds for later tasks of an operator, by the operator's name, and how to drop it.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, drop: Callable[[], None]) -> None:
+    _held[name] = drop
+
+
+def let_go(keeps: str | None = None) -> None:
+    """Drop what this worker, which may serve many operators in turn, holds for others than ``keeps``, and give the memory back."""
+    others = [n for n in _held if n != keeps]
+    for n in others:
+        _held.pop(n)()
+    if others:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict | None], schema: str | StructType, keeps: str | None = None) -> DataFrame:
+    """Arrow batch in, dict of columns out; a batch is cut by :func:`slices` first. ``keeps`` names what :func:`holds` may hold."""
     importable(df.sparkSession)
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
         for whole in batches:
             for b in slices(whole):
                 if (out := each(b)) is not None:
