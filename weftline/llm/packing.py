@@ -248,5 +248,5 @@ def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", targets: Mapp
     # One row for each task and source: few enough, they go to the documents, else both meet by a shuffle.
     starts = F.broadcast(starts) if counts.count() <= MOST_STARTS else starts
     placed = rows.join(starts, ["source", "part"]).select("doc_id", "queue", (F.col("past") + F.col("at")).alias("place"), "n", "ids")
-    pieces = map_batches(placed, _cut(mix), "block long, queue int, place long, doc_id long, start long, n long, doc_tokens long, ids binary")
+    pieces = map_batches(placed, _cut(mix), "block long, queue int, place long, doc_id long, start long, n long, doc_tokens long, ids binary", keeps="bpe")
     return pieces.groupBy("block").applyInArrow(_packing(mix), PIECES)
