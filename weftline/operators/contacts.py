@@ -115,21 +115,26 @@ def swept_cells(path: DataFrame, keys: Keys, contact: str, time: str, sample_id:
     rows = path.select(*keys, contact, time, sample_id, "a", "b").withColumns({"_a0": F.lag("a").over(line), "_b0": F.lag("b").over(line), "_n": F.count(F.lit(1)).over(W.Window.partitionBy(*keys, contact))})
     rows = rows.where("_a0 is not null or _n = 1").join(sizes, list(keys))
     x1, y1 = F.col("a") * F.col("_w"), F.col("b") * F.col("_h")
-    rows = rows.select(*keys, "nx", "ny", (F.col("_w") / F.col("nx")).alias("_cw"), (F.col("_h") / F.col("ny")).alias("_ch"), F.coalesce(F.col("_a0") * F.col("_w"), x1).alias("x0"), F.coalesce(F.col("_b0") * F.col("_h"), y1).alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    rows = rows.select(*keys, "nx", "ny", "_w", "_h", (F.col("_w") / F.col("nx")).alias("_cw"), (F.col("_h") / F.col("ny")).alias("_ch"), F.coalesce(F.col("_a0") * F.col("_w"), x1).alias("x0"), F.coalesce(F.col("_b0") * F.col("_h"), y1).alias("y0"), x1.alias("x1"), y1.alias("y1"))
 
-    def reach(low: str, high: str, size: str, n: str) -> Column:
-        """Numbers of the cells whose middles may be near."""
+    def reach(low: str, high: str, size: str, whole: str, n: str) -> Column:
+        """Numbers and middles of the cells whose middles may be near; (2i + 1) w / 2n is rounded once."""
         first = F.greatest(F.lit(0), F.floor((F.least(low, high) - radius) / F.col(size) - 0.5)).cast("long")
         last = F.least(F.col(n) - 1, F.ceil((F.greatest(low, high) + radius) / F.col(size) - 0.5)).cast("long")
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        cells = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(cells, lambda i: F.struct(i.alias("i"), ((2 * i + 1) * F.col(whole) / (2 * F.col(n))).alias("g")))
 
-    rows = rows.distinct().withColumn("ix", F.explode(reach("x0", "x1", "_cw", "nx"))).withColumn("iy", F.explode(reach("y0", "y1", "_ch", "ny")))
-    gx, gy = (F.col("ix") + 0.5) * F.col("_cw"), (F.col("iy") + 0.5) * F.col("_ch")
+    boxed = lambda g, a, b: (g >= F.least(a, b) - radius) & (g <= F.greatest(a, b) + radius)
+    rows = rows.distinct().withColumn("_x", F.explode(reach("x0", "x1", "_cw", "_w", "nx"))).where(boxed(F.col("_x.g"), "x0", "x1"))
+    rows = rows.withColumn("_y", F.explode(reach("y0", "y1", "_ch", "_h", "ny"))).where(boxed(F.col("_y.g"), "y0", "y1"))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    along = ((gx - F.col("x0")) * dx + (gy - F.col("y0")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
-    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
-    near = F.hypot(gx - (F.col("x0") + u * dx), gy - (F.col("y0") + u * dy)) <= radius
-    return rows.where(near).select(*keys, "nx", "ny", "ix", "iy").distinct()
+    # A middle that is exactly the radius away counts: all is taken from the middle, which moves no such distance past it.
+    from_x, from_y = F.col("_x.g") - F.col("x0"), F.col("_y.g") - F.col("y0")
+    along = (from_x * dx + from_y * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    # Exploded, so that each is computed once, not wherever it is named.
+    rows = rows.withColumn("_u", F.explode(F.array(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0)))))))
+    off_x, off_y = from_x - dx * F.col("_u"), from_y - dy * F.col("_u")
+    return rows.where(F.sqrt(off_x * off_x + off_y * off_y) <= radius).select(*keys, "nx", "ny", F.col("_x.i").alias("ix"), F.col("_y.i").alias("iy")).distinct()
 
 
 def coverage(path: DataFrame, keys: Keys, contact: str, time: str, sample_id: str, radius: float, grid: float) -> DataFrame:
