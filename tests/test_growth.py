@@ -1,6 +1,12 @@
 """Results on borders, and what must not grow with the table in one task."""
 
-from weftline.operators import contacts
+import heapq
+import importlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.operators import contacts, history, picks, splits
 
 
 def test_cells_exactly_the_radius_away_are_swept(spark):
@@ -8,3 +14,63 @@ def test_cells_exactly_the_radius_away_are_swept(spark):
     path = spark.createDataFrame([(1, 1, 1, 1, 0.1, 0.2, 2.0, 1.0), (1, 1, 2, 2, 0.4, 0.2, 2.0, 1.0)], "k int, c int, id int, t int, a double, b double, width double, height double")
     cells = {(r.ix, r.iy) for r in contacts.swept_cells(path, ["k"], "c", "t", "id", 0.15, 0.1).collect()}
     assert {(i, 3) for i in range(2, 8)} <= cells and not any(iy == 4 for _, iy in cells)
+
+
+def widest(spark, run):
+    """The most rows that one task wrote into a settled table, of all that ``run`` settles, and its result."""
+    seen = []
+
+    def spy(df):
+        out = whole(df)
+        seen.append(out.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] or 0)
+        return out
+
+    modules = [importlib.import_module(f"weftline.operators.{m}") for m in ("history", "numbering")]
+    whole = modules[0].settled
+    for m in modules:
+        m.settled = spy
+    try:
+        return run().collect(), max(seen)
+    finally:
+        for m in modules:
+            m.settled = whole
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Partitions of shuffles and files of tables each have their own task."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "65536"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def test_seats_are_dealt_to_ranges(spark, uncoalesced):
+    loads = {"ada": 3, "ben": 0, "cy": 9000, "dee": 10**9}
+    units = spark.range(20_000)
+    rows, most = widest(spark, lambda: picks.least_loaded(units, "id", [F.desc("id")], spark.createDataFrame(list(loads.items()), "who string, n long"), "who", "n"))
+    got, now = {r.id: r.who for r in rows}, [(n, w) for w, n in loads.items()]
+    heapq.heapify(now)
+    for i in reversed(range(20_000)):
+        n, who = heapq.heappop(now)
+        heapq.heappush(now, (n + 1, who))
+        assert got[i] == who
+    # Four partitions hold units and seats by parts; only as many seats are made as are filled.
+    assert 0 < most < 10_000
+    assert picks.least_loaded(units, "id", [F.desc("id")], spark.createDataFrame([], "who string, n long"), "who", "n").isEmpty()
+
+
+def test_ends_of_chains_are_not_all_in_one_task(spark, uncoalesced):
+    # Chains of four: most records have been followed to their end after a round.
+    edges = spark.range(8000).select("id", F.when(F.col("id") % 4 > 0, F.col("id") - 1).alias("up"))
+    edges = edges.unionAll(spark.createDataFrame([(9001, 9002), (9002, 9001)], "id long, up long"))
+    rows, most = widest(spark, lambda: history.closure(edges, spark.createDataFrame([(1,), (4002,)], "id long"), "id", "up"))
+    assert sorted(r.id for r in rows) == [1, 2, 3, 4002, 4003]
+    assert most < 4000
+
+
+def test_groups_of_workers_make_no_distinct_pairs(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "c"), (5, None), (None, "a")], "w int, s string")
+    assert {r.w: r.group for r in splits.worker_groups(rows, "w", "s").collect()} == {1: 1, 2: 1, 3: 1, 4: 4}

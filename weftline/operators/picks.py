@@ -11,9 +11,12 @@ from pyspark.sql import window as W
 from ..functions.hashing import draw, seeded
 from . import joins, temporal
 from .labels import protected
+from .numbering import numbered_by
 from .splits import held_apart
 
 Keys = Sequence[str]
+#: Levels of a person in one block of seats.
+LEVELS = 4096
 
 
 def rank() -> list[Column]:
@@ -181,14 +184,20 @@ def least_loaded(units: DataFrame, unit: str, order: Sequence[Column], loads: Da
 
     Giving one at a time to the least loaded fills loads up level by level. So a person's k-th new
     unit is taken at level load + k, and the order of all (level, name) is the order of the units: both
-    sides are numbered and meet, without a loop. There are as many levels a person as units at most.
+    sides are numbered by ranges and meet, without a loop over units. Seats end at the level where the
+    units do: about as many as units, and two more a person.
     """
     total = units.count()
-    numbered = units.withColumn("_place", F.row_number().over(W.Window.orderBy(*order)))
-    lowest = loads.agg(F.min(load)).first()[0] or 0
-    people = max(1, loads.count())
-    # Nobody gets beyond the level at which all together would have taken every unit.
-    top = lowest + total + (loads.agg(F.sum(F.col(load) - lowest)).first()[0] or 0) // people
-    seats = loads.where(F.col(load) <= top).select(who, F.explode(F.sequence(F.col(load), F.lit(top))).alias("_level"))
-    seats = seats.withColumn("_place", F.row_number().over(W.Window.orderBy("_level", who))).where(F.col("_place") <= total)
-    return numbered.join(seats, "_place").select(*units.columns, who)
+    # Nobody gets beyond the level at which the people below it would have taken every unit; each round leaves out people who start above the last one.
+    top = (loads.agg(F.min(load)).first()[0] or 0) + total
+    while True:
+        n, sum_of_loads = loads.where(F.col(load) <= top).agg(F.count(F.lit(1)), F.sum(load)).first()
+        lower = (total + sum_of_loads) // n + 1 if n else top
+        if lower >= top:
+            break
+        top = lower
+    # A person's levels come in blocks, so that neither one row nor one task holds them all.
+    blocks = loads.where(F.col(load) <= top).select(who, F.col(load).cast("long").alias("_from"), F.explode(F.sequence(F.col(load).cast("long"), F.lit(top).cast("long"), F.lit(LEVELS).cast("long"))).alias("_low"))
+    seats = blocks.repartition(who, "_low").select(who, F.explode(F.sequence(F.col("_low"), F.least(F.col("_low") + (LEVELS - 1), F.lit(top).cast("long")))).alias("_level"))
+    seats = numbered_by(seats, [F.asc("_level"), F.asc(who)], "_place").where(F.col("_place") <= total)
+    return numbered_by(units, order, "_place").join(seats, "_place").select(*units.columns, who)
