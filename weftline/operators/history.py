@@ -26,13 +26,18 @@ def closure(edges: DataFrame, roots: DataFrame, child: str, parent: str) -> Data
     marked = roots.select("id").distinct()
     hit = marked.select("id", F.lit(True).alias("_hit"))
     rows = edges.select(F.col(child).alias("id"), F.col(parent).alias("up"))
-    now = rows.join(hit, "id", "left").join(hit.select(F.col("id").alias("up"), F.col("_hit").alias("_above")), "up", "left")
-    now = settled(now.select("id", "up", F.coalesce("_hit", "_above", F.lit(False)).alias("hit")))
+    # Only records that still look up are joined: ends of chains have no ancestor to meet, and would all be in one task.
+    own = rows.join(hit, "id", "left")
+    above = hit.select(F.col("id").alias("up"), F.col("_hit").alias("_above"))
+    first = own.where("up is not null").join(above, "up", "left").select("id", "up", F.coalesce("_hit", "_above", F.lit(False)).alias("hit"))
+    now = settled(first.unionByName(own.where("up is null").select("id", "up", F.coalesce("_hit", F.lit(False)).alias("hit"))))
+    open_ = F.col("up").isNotNull() & ~F.col("hit")
     for _ in range(now.count().bit_length() + 1):
-        if now.where("up is not null and not hit").isEmpty():
+        if now.where(open_).isEmpty():
             break
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("hit").alias("_hit"))
-        now = settled(now.join(above, "up", "left").select("id", F.when(~F.col("hit"), F.col("_up")).alias("up"), (F.col("hit") | F.coalesce("_hit", F.lit(False))).alias("hit")))
+        above = now.where("id is not null").select(F.col("id").alias("up"), F.when(~F.col("hit"), F.col("up")).alias("_up"), F.col("hit").alias("_hit"))
+        further = now.where(open_).join(above, "up", "left").select("id", F.col("_up").alias("up"), F.coalesce("_hit", F.lit(False)).alias("hit"))
+        now = settled(further.unionByName(now.where(~open_)))
     return marked.unionAll(now.where("hit").select("id")).distinct()
 
 
