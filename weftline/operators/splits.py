@@ -23,11 +23,16 @@ def assigned(groups: DataFrame, key: str, seed: int, shares: dict[str, float]) -
 def linked_groups(rows: DataFrame, worker: str, site: str) -> DataFrame:
     """``group`` of each (worker, site): the least worker reachable by shared sites and workers."""
     pairs = rows.select(worker, site).distinct()
-    # A site stands for a star around its least worker: as many links as pairs, whatever the site's size.
-    least = pairs.groupBy(site).agg(F.min(worker).alias("_least"))
-    links = pairs.join(least, site).select(worker, "_least").distinct()
-    groups = parts(links, worker, "_least").select(F.col("node").alias(worker), F.col("root").alias("group"))
-    return pairs.join(groups, worker).select(worker, site, "group")
+    return pairs.join(worker_groups(rows, worker, site), worker).select(worker, site, "group")
+
+
+def worker_groups(rows: DataFrame, worker: str, site: str) -> DataFrame:
+    """``group`` of each worker of a site: the least worker reachable by shared sites and workers."""
+    # A site stands for a star around its least worker: as many links as pairs at most, whatever the site's size. Rows needn't be distinct
+    # for that: links are, and they are far fewer, so that no task holds the pairs.
+    least = rows.groupBy(site).agg(F.min(worker).alias("_least"))
+    links = rows.select(worker, site).join(least.hint("shuffle_hash"), site).select(worker, "_least").distinct()
+    return parts(links, worker, "_least").select(F.col("node").alias(worker), F.col("root").alias("group"))
 
 
 def held_apart(sessions: DataFrame, session: str, worker: str, site: str, golden: DataFrame) -> DataFrame:

@@ -199,7 +199,7 @@ r(w, v) AS (SELECT w, v FROM e UNION SELECT r.w, e.v FROM r JOIN e ON r.v = e.w)
 def linked_groups(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers linked through parts, directly or not, over all lines."""
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("w"), F.col("l_partkey").alias("s"))
-    return splits.linked_groups(rows, "w", "s").select("w", "group").distinct()
+    return splits.worker_groups(rows, "w", "s").select("w", "group")
 
 
 linked_groups_whole = linked_groups
