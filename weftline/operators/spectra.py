@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,23 +22,30 @@ Keys = Sequence[str]
 SUMS = ("n", "a", "b", "aa", "bb", "ab")
 
 
-def _dense(places: pa.ListScalar, values: pa.ListScalar, size: int) -> np.ndarray:
-    """Presence, value and square by slot."""
-    out = np.zeros((3, size))
-    at = places.values.to_numpy()
-    v = values.values.to_numpy(zero_copy_only=False)
-    out[:, at] = np.ones(len(at)), v, v * v
+#: Blocks that are transformed, and handed back, together.
+TOGETHER = 256
+
+
+def _dense(packed: pa.StructArray, size: int) -> np.ndarray:
+    """Presence, value and square by slot, for each block of lists of ``p`` and ``v``."""
+    lists = packed.field("p"), packed.field("v")
+    row = np.repeat(np.arange(len(packed)), pa.compute.list_value_length(lists[0]).to_numpy(zero_copy_only=False))
+    at, v = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+    out = np.zeros((len(packed), 3, size))
+    out[row, 0, at], out[row, 1, at], out[row, 2, at] = 1.0, v, v * v
     return out
 
 
 def block_sums(ours: np.ndarray, theirs: np.ndarray, most_lag: int) -> np.ndarray:
-    """For each lag from ``-most_lag``, SUMS over a block; ``theirs`` starts ``most_lag`` slots before ``ours``."""
-    n = ours.shape[1] + theirs.shape[1]
+    """For each block and each of SUMS, values by lag from ``-most_lag``; ``theirs`` starts ``most_lag`` slots before ``ours``."""
+    n = ours.shape[-1] + theirs.shape[-1]
     size = 1 << (n - 1).bit_length()
     x, y = np.conj(np.fft.rfft(ours, size)), np.fft.rfft(theirs, size)
+    out = np.empty((len(ours), len(SUMS), 2 * most_lag + 1))
     # Presence, values and squares of one series against presence of the other, and values against values.
-    spectra = np.stack([x[0] * y[0], x[1] * y[0], x[0] * y[1], x[2] * y[0], x[0] * y[2], x[1] * y[1]])
-    return np.fft.irfft(spectra, size)[:, : 2 * most_lag + 1]
+    for k, (i, j) in enumerate(((0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1))):
+        out[:, k] = np.fft.irfft(x[:, i] * y[:, j], size)[:, : 2 * most_lag + 1]
+    return out
 
 
 def correlations(a: DataFrame, b: DataFrame, keys: Keys, slot: str, value: str, most_lag: int, block: int | None = None) -> DataFrame:
@@ -54,14 +62,18 @@ def correlations(a: DataFrame, b: DataFrame, keys: Keys, slot: str, value: str,
     parts = blocks.select(*keys, F.col("_a.p").alias("_ap"), F.transform("_a.v", lambda v: v - F.col("_ma")).alias("_av"), F.col("_b.p").alias("_bp"), F.transform("_b.v", lambda v: v - F.col("_mb")).alias("_bv"))
     schema = StructType([*(blocks.schema[k] for k in keys), StructField("lag", ArrayType(LongType())), *(StructField(f"_{s}", ArrayType(DoubleType())) for s in SUMS)])
     arrow = to_arrow_schema(schema)
-    lags = list(range(-most_lag, most_lag + 1))
+    lags = np.arange(-most_lag, most_lag + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [block_sums(_dense(ap, av, block), _dense(bp, bv, block + 2 * most_lag), most_lag) for ap, av, bp, bv in zip(*(batch.column(c) for c in ("_ap", "_av", "_bp", "_bv")), strict=True)]
-            columns = [*(batch.column(k) for k in keys), pa.array([lags] * len(sums), type=arrow.field("lag").type)]
-            columns += [pa.array([list(x[i]) for x in sums], type=arrow.field(f"_{s}").type) for i, s in enumerate(SUMS)]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for start in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(start, TOGETHER)
+                sides = [pa.StructArray.from_arrays([some.column(f"_{x}p"), some.column(f"_{x}v")], ["p", "v"]) for x in "ab"]
+                sums = block_sums(_dense(sides[0], block), _dense(sides[1], block + 2 * most_lag), most_lag)
+                ends = pa.array(np.arange(some.num_rows + 1, dtype=np.int32) * len(lags))
+                columns = [*(some.column(k) for k in keys), pa.ListArray.from_arrays(ends, pa.array(np.tile(lags, some.num_rows)))]
+                columns += [pa.ListArray.from_arrays(ends, pa.array(sums[:, i].ravel())) for i in range(len(SUMS))]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     rows = parts.mapInArrow(run, schema).select(*keys, F.explode(F.arrays_zip("lag", *(f"_{s}" for s in SUMS))).alias("_x")).select(*keys, "_x.*")
     total = rows.groupBy(*keys, "lag").agg(F.round(F.sum("_n")).cast("long").alias("n"), *(F.sum(f"_{s}").alias(f"_{s}") for s in SUMS[1:])).where("n > 0")
