@@ -81,7 +81,9 @@ SELECT row_number() OVER (ORDER BY image_id, id) AS annotation_id, CAST(image_id
 def export_annotations(spark: SparkSession, d: str) -> DataFrame:
     """Lines as boxes in the pictures of their supplier and day."""
     lines = table(spark, d, "lineitem")
-    rows = numbered(lines, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "id")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    # Numbering writes the rows, so columns that nobody asks for go before it.
+    rows = numbered(lines.select(*order, "l_shipdate", "l_quantity", "l_returnflag"), order, "id")
     boxes = rows.select(F.col("l_suppkey").alias("video"), F.col("l_shipdate").cast("date").alias("frame"), "id", F.col("l_quantity").alias("x"), F.lit(0.0).alias("y"), (F.col("l_linenumber") - 2.0).alias("w"), F.lit(3.0).alias("h"), F.col("l_returnflag").alias("kind"))
     ids = exports.categories(lines.where("l_returnflag <> 'N'"), "l_returnflag")
     return exports.annotations(boxes, ["video", "frame"], "kind", ids)[1].select("annotation_id", "image_id", "category_id", F.element_at("bbox", 1).alias("x"), "area")
