@@ -3,10 +3,11 @@
 import heapq
 import importlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import contacts, history, picks, splits
+from weftline.operators import contacts, history, numbering, picks, scenes, spectra, splits
 
 
 def test_cells_exactly_the_radius_away_are_swept(spark):
@@ -74,3 +75,30 @@ def test_ends_of_chains_are_not_all_in_one_task(spark, uncoalesced):
 def test_groups_of_workers_make_no_distinct_pairs(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "c"), (5, None), (None, "a")], "w int, s string")
     assert {r.w: r.group for r in splits.worker_groups(rows, "w", "s").collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_numbering_shuffles_rows_once(spark):
+    df = spark.range(3000).select((F.col("id") * 7 % 1000).alias("a"), "id").repartition(5)
+    out = numbering.numbered(df, ["a", "id"], "n")
+    # Rows are numbered where they were written: no window over them and no second exchange.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "row_number" not in plan
+    assert [r.n for r in sorted(out.collect(), key=lambda r: (r.a, r.id))] == list(range(1, 3001))
+
+
+def test_block_sums_hold_no_transforms():
+    rng = np.random.default_rng(4)
+    here = [(rng.random((3, n)) < 0.6).astype(float) for n in (16, 24)]
+    ours, theirs = (np.stack([h, x := h * rng.normal(size=h.shape), x * x], 1) for h in here)
+    got = spectra.block_sums(ours, theirs, 4)
+    assert got.base is None and got.shape == (3, 6, 9)
+    want = [[sum(ours[b, 1, s] * theirs[b, 1, s + lag] for s in range(16) if s + lag < 24) for lag in range(9)] for b in range(3)]
+    assert np.allclose(got[:, 5], want)
+
+
+def test_votes_are_counted_without_lists_of_points(spark):
+    pairs = spark.createDataFrame([(1, i, [float(i), 0.0, 1.0], [2.0 * i + (9 if i > 6 else 0), 0.0, 2.0]) for i in range(9)], "k int, id long, s array<double>, t array<double>")
+    models = spark.createDataFrame([(1, 0, 2.0, [1.0, 0.0, 0.0, 0.0], [0.0] * 3), (1, 1, 1.0, [1.0, 0.0, 0.0, 0.0], [0.0] * 3)], "k int, h int, scale double, q array<double>, p array<double>")
+    out = scenes.votes(pairs, models, ["k"], "id", "s", "t", 0.01)
+    assert [(r.k, r.h, r.votes) for r in out.collect()] == [(1, 0, 7)]
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()

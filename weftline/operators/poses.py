@@ -65,15 +65,31 @@ def relative_error(pairs: DataFrame, keys: Keys, order: Keys, step: int = 1) ->
     return rows.groupBy(*keys).agg(F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("place_error"), F.sqrt(F.avg(F.col("_a") * F.col("_a"))).alias("angle_error"), F.count("*").alias("n"))
 
 
+def _quaternions(m: np.ndarray) -> np.ndarray:
+    """:func:`rotations.from_matrix` for many matrices at once."""
+    a, b, c, d, e, f, g, h, i = m.reshape(-1, 9).T
+    size = np.stack([a + e + i, a - e - i, e - a - i, i - a - e], 1)
+    most = size.argmax(1)
+    # Row k has the quaternion times four times its component k; what is next to it on the diagonal is four times that component's square.
+    rows = [[None, h - f, c - g, d - b], [h - f, None, b + d, c + g], [c - g, b + d, None, f + h], [d - b, c + g, f + h, None]]
+    s = 2 * np.sqrt(np.maximum(size[np.arange(len(size)), most] + 1, 0))
+    out = np.empty((len(s), 4))
+    for k in range(4):
+        at = most == k
+        for j in range(4):
+            out[at, j] = s[at] / 4 if j == k else rows[k][j][at] / s[at]
+    return out
+
+
 def similarity(pairs: DataFrame, keys: Keys, source: str, target: str) -> DataFrame:
     """Scale, rotation and shift that bring source points nearest to their targets by least squares, per key: ``scale``, ``q``, ``p`` and ``n``."""
-    at = lambda c, i: F.element_at(c, i + 1)
+    at = lambda c, i: F.col(c).getItem(i)
     sums = [F.sum(at(c, i)).alias(f"{s}{i}") for s, c in (("a", source), ("b", target)) for i in range(3)]
     sums += [F.sum(at(target, r) * at(source, c)).alias(f"m{r}{c}") for r in range(3) for c in range(3)]
-    sums += [F.sum(F.aggregate(source, F.lit(0.0), lambda s, x: s + x * x)).alias("aa"), F.count("*").alias("n")]
+    sums += [F.sum(at(source, 0) * at(source, 0) + at(source, 1) * at(source, 1) + at(source, 2) * at(source, 2)).alias("aa"), F.count("*").alias("n")]
     names = [f"{s}{i}" for s in "ab" for i in range(3)] + [f"m{r}{c}" for r in range(3) for c in range(3)] + ["aa", "n"]
 
-    @F.pandas_udf("struct<scale: double, m: array<double>, p: array<double>>")
+    @F.pandas_udf("struct<scale: double, q: array<double>, p: array<double>>")
     def solve(*columns: pd.Series) -> pd.DataFrame:
         x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
         n = x[:, 16]
@@ -86,10 +102,10 @@ def similarity(pairs: DataFrame, keys: Keys, source: str, target: str) -> DataFr
         turn = (u * sign[:, None, :]) @ vt
         scale = (s * sign).sum(1) / spread
         shift = b - scale[:, None] * (turn @ a[:, :, None])[:, :, 0]
-        return pd.DataFrame({"scale": scale, "m": list(turn.reshape(-1, 9)), "p": list(shift)})
+        return pd.DataFrame({"scale": scale, "q": list(_quaternions(turn)), "p": list(shift)})
 
     rows = pairs.groupBy(*keys).agg(*sums).withColumn("_s", solve(*(F.col(c).cast("double") for c in names)))
-    return rows.select(*keys, F.col("_s.scale").alias("scale"), rotations.from_matrix(F.col("_s.m")).alias("q"), F.col("_s.p").alias("p"), "n")
+    return rows.select(*keys, F.col("_s.scale").alias("scale"), F.col("_s.q").alias("q"), F.col("_s.p").alias("p"), "n")
 
 
 def triangulated(views: DataFrame, keys: Keys, matrix: str, x: str, y: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Descriptors meet block by block: a block of one side and one of the other are compared by a
 matrix product in one task, which keeps the nearest alone, so no list of all pairs is ever made. Hypotheses of the
-similarity are rows, drawn by hashes; points vote on all of them in blocks, and votes are summed.
+similarity are rows, drawn by hashes; points vote on all of them, and votes are summed.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -81,7 +81,8 @@ def match_descriptors(a: DataFrame, b: DataFrame, keys: Keys, row_id: str, vecto
 
 def hypotheses(pairs: DataFrame, keys: Keys, pair_id: str, source: str, target: str, iterations: int, seed: int) -> DataFrame:
     """Rows ``h``, ``scale``, ``q``, ``p``: similarities through three pairs each. The pairs are the first three, by a hash of seed, hypothesis and place of the pair in order of its id."""
-    numbered = pairs.select(*keys, F.struct(F.col(source).alias("s"), F.col(target).alias("t")).alias("_x"), (F.row_number().over(W.Window.partitionBy(*keys).orderBy(pair_id)) - 1).alias("_i"))
+    places = [f"_{x}{i}" for x in "st" for i in range(3)]
+    numbered = _split(pairs, keys, source, target, pair_id).select(*keys, *places, (F.row_number().over(W.Window.partitionBy(*keys).orderBy(pair_id)) - 1).alias("_i"))
     sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3")
     draws = sizes.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     # Three different places: two hashes into what is left, moved past those taken.
@@ -91,28 +92,30 @@ def hypotheses(pairs: DataFrame, keys: Keys, pair_id: str, source: str, target:
     low, high = F.least("_a", "_b"), F.greatest("_a", "_b")
     draws = draws.withColumn("_c", third + (third >= low).cast("long")).withColumn("_c", F.when(F.col("_c") >= high, F.col("_c") + 1).otherwise(F.col("_c")))
     picked = draws.select(*keys, "h", F.explode(F.array("_a", "_b", "_c")).alias("_i")).join(numbered, [*keys, "_i"])
-    return poses.similarity(picked.select(*keys, "h", F.col("_x.s").alias("_s"), F.col("_x.t").alias("_t")), [*keys, "h"], "_s", "_t").where("not isnan(scale) and scale > 0 and scale < 1e12").drop("n")
+    return poses.similarity(picked.select(*keys, "h", F.array(*places[:3]).alias("_s"), F.array(*places[3:]).alias("_t")), [*keys, "h"], "_s", "_t").where("not isnan(scale) and scale > 0 and scale < 1e12").drop("n")
 
 
-def votes(pairs: DataFrame, models: DataFrame, keys: Keys, pair_id: str, source: str, target: str, threshold: float, block: int = 4096) -> DataFrame:
-    """``h`` and ``votes`` of each model with any: pairs that it brings within the threshold. Pairs come in blocks, each of which meets all models of its key as arrays."""
-    matrix = F.concat(F.array("h", "scale"), rotations.to_matrix(F.col("q")), F.col("p"))
-    held = models.groupBy(*keys).agg(F.collect_list(matrix.cast("array<double>")).alias("_m"))
-    sizes = pairs.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_blocks"))
-    packed = pairs.join(sizes, list(keys)).groupBy(*keys, F.pmod(F.xxhash64(pair_id), F.col("_blocks")).alias("_block")).agg(F.collect_list(F.struct(F.col(source).cast("array<double>").alias("s"), F.col(target).cast("array<double>").alias("t"))).alias("_x"))
-    schema = StructType([*(pairs.schema[k] for k in keys), StructField("h", LongType()), StructField("votes", LongType())])
-    arrow = to_arrow_schema(schema)
+def _split(pairs: DataFrame, keys: Keys, source: str, target: str, *more: str) -> DataFrame:
+    """Points as plain columns: ``_s0`` to ``_s2``, ``_t0`` to ``_t2``."""
+    return pairs.select(*keys, *more, *(F.col(c).getItem(i).cast("double").alias(f"_{x}{i}") for x, c in (("s", source), ("t", target)) for i in range(3)))
+
+
+def _flat(models: DataFrame, name: str, *kept: str) -> DataFrame:
+    """Models as twelve plain columns: the scaled rotation by rows, then the shift."""
+    rows = models.select(*kept, "scale", "p", rotations.to_matrix(F.col("q")).alias("_r"))
+    return rows.select(*kept, *((F.col("scale") * F.col("_r").getItem(i)).alias(f"_{name}{i}") for i in range(9)), *(F.col("p").getItem(i).alias(f"_{name}{9 + i}") for i in range(3)))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s, t = (np.array([x[c] for x in row["_x"]]) for c in "st")
-                m = np.array(row["_m"])
-                moved = m[:, 1, None, None] * (s[None] @ m[:, 2:11].reshape(-1, 3, 3).transpose(0, 2, 1)) + m[:, None, 11:14]
-                n = (np.linalg.norm(moved - t[None], axis=2) <= threshold).sum(1)
-                yield pa.RecordBatch.from_arrays([*(pa.array([row[k]] * len(n), type=arrow.field(k).type) for k in keys), pa.array(m[:, 0].astype(np.int64)), pa.array(n.astype(np.int64))], schema=arrow)
+def _error(name: str) -> Column:
+    """How far the model brings the source point from its target."""
+    off = [sum((F.col(f"_{name}{3 * r + c}") * F.col(f"_s{c}") for c in range(3)), F.col(f"_{name}{9 + r}")) - F.col(f"_t{r}") for r in range(3)]
+    return F.sqrt(sum((F.pow(x, F.lit(2.0)) for x in off[1:]), F.pow(off[0], F.lit(2.0))))
 
-    return packed.join(held, list(keys)).mapInArrow(run, schema).groupBy(*keys, "h").agg(F.sum("votes").alias("votes")).where("votes > 0")
+
+def votes(pairs: DataFrame, models: DataFrame, keys: Keys, pair_id: str, source: str, target: str, threshold: float) -> DataFrame:
+    """``h`` and ``votes`` of each model with any: pairs that it brings within the threshold. Each pair meets each model of its key, and is counted at once."""
+    met = _split(pairs, keys, source, target).join(_flat(models, "m", *keys, "h"), list(keys))
+    return met.where(_error("m") <= threshold).groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("votes"))
 
 
 def ransac_similarity(pairs: DataFrame, keys: Keys, pair_id: str, source: str, target: str, threshold: float, iterations: int = 200, seed: int = 1) -> DataFrame:
@@ -124,20 +127,15 @@ def ransac_similarity(pairs: DataFrame, keys: Keys, pair_id: str, source: str, t
     models = settled(hypotheses(pairs, keys, pair_id, source, target, iterations, seed))
     best = votes(pairs, models, keys, pair_id, source, target, threshold).groupBy(*keys).agg(F.min_by("h", F.struct(-F.col("votes"), "h")).alias("h"))
     fit = models.join(best, [*keys, "h"]).drop("h")
-
-    def error() -> F.Column:
-        moved = F.zip_with(rotations.rotated(F.col("q"), F.transform(source, lambda v: v * F.col("scale"))), "p", lambda a, b: a + b)
-        return poses.length(F.zip_with(moved, target, lambda a, b: a - b))
-
+    points = _split(pairs, keys, source, target)
     for _ in range(3):
-        near = pairs.join(fit, list(keys)).where(error() <= threshold).select(*keys, source, target)
-        again = settled(poses.similarity(near, keys, source, target).where("n >= 3").drop("n"))
+        near = points.join(_flat(fit, "m", *keys), list(keys)).where(_error("m") <= threshold).select(*keys, F.array("_s0", "_s1", "_s2").alias("_s"), F.array("_t0", "_t1", "_t2").alias("_t"))
+        again = settled(poses.similarity(near, keys, "_s", "_t").where("n >= 3").drop("n"))
         used, fit = fit, again
     # What the last fit was made from counts, not what it brings near.
-    taken = pairs.join(used.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("scale", "q", "p"))), list(keys))
-    moved = F.zip_with(rotations.rotated(F.col("_q"), F.transform(source, lambda v: v * F.col("_scale"))), "_p", lambda a, b: a + b)
-    taken = taken.where(poses.length(F.zip_with(moved, target, lambda a, b: a - b)) <= threshold).join(fit, list(keys))
-    sums = taken.groupBy(*keys).agg(F.count(F.lit(1)).alias("inliers"), F.sqrt(F.avg(F.pow(error(), F.lit(2)))).alias("rms"))
+    both = _flat(used, "u", *keys).join(_flat(fit, "m", *keys), list(keys))
+    taken = points.join(both, list(keys)).where(_error("u") <= threshold)
+    sums = taken.groupBy(*keys).agg(F.count(F.lit(1)).alias("inliers"), F.sqrt(F.avg(F.pow(_error("m"), F.lit(2)))).alias("rms"))
     every = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("matches")).where("matches >= 3")
     return every.join(fit, list(keys), "left").join(sums, list(keys), "left").fillna({"inliers": 0})
 
