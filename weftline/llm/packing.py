@@ -22,6 +22,7 @@ packed each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -40,6 +41,8 @@ SEQUENCE, WINDOW = 1024, 32 * 1024
 BLOCK, MOST_QUEUES = 64 * WINDOW, 1000
 #: Rows, of some 50 bytes, that are broadcast.
 MOST_STARTS = 100_000
+#: Bytes of text that are encoded at once: their words, a Python object each, take ten times as much.
+ENCODE_BYTES = 1 << 20
 #: The end token, id 0, as 32 bits.
 END = bytes(4)
 
@@ -56,7 +59,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, past = bpe(vocabulary), TaskContext.get().partitionId(), Counter()
-        for b in (piece for whole in batches for piece in slices(whole)):
+        for b in (piece for whole in batches for piece in slices(whole, ENCODE_BYTES)):
             ids = [np.frombuffer(x + END, dtype="<u4") for x in coder.encode_all(b.column("text").to_pylist())]
             sources, places = [queue_key(s) for s in b.column("source").to_pylist()], []
             for s, x in zip(sources, ids, strict=True):
@@ -241,7 +244,9 @@ def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", targets: Mapp
     # No more than MOST_QUEUES sources can be this large.
     large = {r["source"]: r["n"] for r in sources.where((F.col("n") * MOST_QUEUES >= total) | F.col("source").isin(names)).collect()}
     queues, mix = mixture(large | {"": total - sum(large.values())}, targets)
-    numbers = spark.createDataFrame(list(queues.items()), "source string, queue int")
+    # As a literal: a list given to createDataFrame starts Python workers of another kind, beside those that executors hold.
+    named = [{"source": k, "queue": i} for k, i in queues.items()]
+    numbers = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(named)), "array<struct<source:string,queue:int>>")))
     in_queue = W.Window.partitionBy("queue").orderBy("part", "source").rowsBetween(W.Window.unboundedPreceding, -1)
     starts = counts.join(F.broadcast(numbers), "source", "left").fillna({"queue": queues.get("", -1)})
     starts = starts.select("source", "part", "queue", F.coalesce(F.sum("n").over(in_queue), F.lit(0)).alias("past"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import label_sample, map_batches, remainder_of_id, schema_of, staged
-from .textstats import COUNTS, SHAPE, with_stats
+from .textstats import COUNTS, SHAPE, boxed, stats_table, unboxed, with_stats
 
 INPUTS = (*COUNTS, *SHAPE)
 
@@ -122,14 +122,14 @@ def trained(stats: DataFrame, labels: DataFrame, label: str, held_out: Column, m
     return fit_forest(features(counts), rows["_label"].to_numpy(dtype=np.float64))
 
 
-def scored(stats: DataFrame, forest: Forest, keep: str) -> DataFrame:
-    """Column ``keep`` of the rows, and ``score``."""
+def scored(stats: DataFrame, forest: Forest) -> DataFrame:
+    """``doc_id`` and ``score``."""
 
     def each(batch: pa.RecordBatch) -> dict:
         counts = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in INPUTS])
-        return {keep: batch.column(keep), "score": forest.score(features(counts))}
+        return {"doc_id": batch.column("doc_id"), "score": forest.score(features(counts))}
 
-    return map_batches(stats, each, schema_of(stats, (keep,), "score double"))
+    return map_batches(stats, each, schema_of(stats, ("doc_id",), "score double"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_fold: int = 0, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:
@@ -137,13 +137,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_f
     stats = staged(with_stats(docs), "classifier-stats")
     held = remainder_of_id("doc_id", folds) == held_fold
     forest = trained(stats, labels, "quality", held, max_rows)
-    return scored(stats, forest, "doc_id").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored(stats, forest).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_fold: int = 0, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:
-    """The documents predicted to be good, same columns. Statistics are taken twice, of the sample and of all rows; texts are never shuffled."""
+    """The documents predicted to be good, same columns. Statistics are taken twice, of the sample and of all rows; texts are never shuffled.
+
+    One Python worker a task counts, scores and drops: two in a row would double the workers that executors hold from then on.
+    """
     held = remainder_of_id("doc_id", folds) == held_fold
     sampled = docs.select("doc_id", "text").join(F.broadcast(label_sample(labels, "quality", ~held, max_rows).select("doc_id")), "doc_id", "left_semi")
     forest = trained(with_stats(sampled), labels, "quality", held, max_rows)
-    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    return scored(with_stats(rows, ("_row",)), forest, "_row").where(F.col("score") >= threshold).select("_row.*")
+    rows = boxed(docs)
+    names = tuple(rows.columns)
+
+    def each(batch: pa.RecordBatch) -> dict:
+        good = pa.array(forest.score(features(stats_table(batch.column("text")))) >= threshold)
+        return {c: batch.column(c).filter(good) for c in names}
+
+    return unboxed(map_batches(rows, each, rows.schema), docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_batches, schema_of
 
@@ -71,12 +72,28 @@ def stats_of(text: str | None) -> tuple[int, ...]:
     )
 
 
+def stats_table(texts: pa.Array) -> np.ndarray:
+    """A row for each text, in the order of COUNTS and SHAPE."""
+    return np.array([stats_of(t.as_py()) for t in texts], dtype=np.int64).reshape(-1, len(COUNTS) + len(SHAPE))
+
+
 def with_stats(df: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of the rows, and the statistics of their whole texts."""
     names = (*COUNTS, *SHAPE)
 
     def each(batch: pa.RecordBatch) -> dict:
-        table = np.array([stats_of(t.as_py()) for t in batch.column("text")], dtype=np.int64).reshape(-1, len(names))
+        table = stats_table(batch.column("text"))
         return {c: batch.column(c) for c in columns} | {c: table[:, i] for i, c in enumerate(names)}
 
-    return map_batches(df.select("text", *columns), each, schema_of(df, columns, SCHEMA))
+    return map_batches(df.select(*dict.fromkeys(("text", *columns))), each, schema_of(df, columns, SCHEMA))
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """``text`` and, in a struct ``_rest`` if there are any, the other columns, whatever their names: rows go to Python whole, with their text once."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("text", *([F.struct(*rest).alias("_rest")] if rest else []))
+
+
+def unboxed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of :func:`boxed` with their ``columns`` again."""
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"_rest.`{c}`") for c in columns))
